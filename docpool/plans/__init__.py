@@ -1,6 +1,6 @@
 """All queries of the core by name, with their SQL."""
 
-from docpool.plans import snapshots
+from docpool.plans import lifecycle, retrieval, snapshots
 
-QUERIES = {**snapshots.QUERIES}
-ORACLE = {**snapshots.ORACLE}
+QUERIES = {**retrieval.QUERIES, **lifecycle.QUERIES, **snapshots.QUERIES}
+ORACLE = {**retrieval.ORACLE, **lifecycle.ORACLE, **snapshots.ORACLE}
