@@ -8,6 +8,8 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
 
 _NO_LETTER_OR_DIGIT = re.compile(r"[\W_]+")
 
@@ -39,3 +41,14 @@ def slices(batches: Iterator[pa.RecordBatch], text: int, chars: int = 4_000_000)
             held += int(n)
         if start < batch.num_rows:
             yield batch.slice(start)
+
+
+def sampled(rows: DataFrame, row_id: str, limit: int) -> list[Row]:
+    """The rows of the `limit` ids with the smallest hashes, `limit` rows at most.
+
+    Only ids are sorted; the tasks send the driver no other row than those of the sample.
+    """
+    if limit <= 0:
+        return []
+    ids = [r[0] for r in rows.select(row_id).where(F.col(row_id).isNotNull()).orderBy(F.xxhash64(row_id), row_id).limit(limit).collect()]
+    return rows.where(F.col(row_id).isin(ids)).limit(limit).collect() if ids else []

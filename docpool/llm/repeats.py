@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docpool.llm._text import reduced, slices
+from docpool.llm._text import reduced, sampled, slices
 
 WINDOW = 20
 MIN_CHARS = 100
@@ -107,8 +107,7 @@ def repetition(docs: DataFrame, doc_id: str, text: str, *, sample_rows: int = 40
     nothing; repeated ids are rows of their own. Documents are scored where they lie, without a shuffle.
     """
     read = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sample = read.where(F.length("text") > 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows) if sample_rows else None
-    order = rule_order([r.text for r in sample.collect()] if sample is not None else [])
+    order = rule_order([r.text for r in sampled(read, "doc_id", sample_rows) if r.text])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
