@@ -20,6 +20,8 @@ TILE = 512
 CELL = 64
 #: Tables of the index. Two vectors with cosine 0.95 share a cell of one table with probability 0.36 to 0.6.
 TABLES = 14
+#: Decimal places of the cosines that are ranked: scaled copies of a vector are ties, whatever their rounding.
+DIGITS = 6
 #: Query vectors that are held against all rows in one pass.
 QUERY_BLOCK = 8192
 
@@ -184,7 +186,7 @@ def neighbours_above(rows: DataFrame, row_id: str, vector: str, *, dim: int, k:
     pairs = lists.select("l").mapInArrow(_tiles(dim, k, floor), "src long, dst long").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
     v = reps.select("rep", "vector")
     joined = pairs.join(v.select(F.col("rep").alias("src"), F.col("vector").alias("x")), "src").join(v.select(F.col("rep").alias("dst"), F.col("vector").alias("y")), "dst")
-    scored = joined.select("src", "dst", "x", "y").mapInArrow(_cosines(dim), "src long, dst long, cosine double").where(F.col("cosine") >= floor)
+    scored = joined.select("src", "dst", "x", "y").mapInArrow(_cosines(dim), "src long, dst long, cosine double").where(F.col("cosine") >= floor).withColumn("cosine", F.round("cosine", DIGITS))
     scored = materialize(scored, "cosines")
     both = scored.unionByName(scored.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "cosine"))
     best = Window.partitionBy("src").orderBy(F.desc("cosine"), "dst")
@@ -208,9 +210,9 @@ def _against(ids: np.ndarray, queries: np.ndarray, dim: int, k: int):
                 unit = _matrix(batch.column(1), dim)
                 qb, sb, eb = quantised(unit)
                 product, error = tile_bounds(qa, sa, ea, qb, sb, eb)
-                mask = surviving(product, error, k + 1, -2.0) & (product + error >= kth[:, None])
+                mask = surviving(product, error + 10.0**-DIGITS, k + 1, -2.0) & (product + error >= kth[:, None] - 10.0**-DIGITS)
                 x, y = np.nonzero(mask)
-                cosines = np.einsum("ij,ij->i", queries[x], unit[y])
+                cosines = np.round(np.einsum("ij,ij->i", queries[x], unit[y]), DIGITS)
                 for i, j, c in zip(x, other[y], cosines, strict=True):
                     if j != ids[i]:
                         item = (float(c), -int(j))

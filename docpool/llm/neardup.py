@@ -53,12 +53,14 @@ def prob_min_hash(hashes: np.ndarray, counts: np.ndarray, registers: int = REGIS
     """ProbMinHash signatures, a row for each set: registers agree with the sets' probability Jaccard similarity.
 
     Every element sends a Poisson process of arrivals, at the rate of its weight, to registers drawn at random;
-    both depend on the element alone. A register keeps the earliest arrival. An element ends when its next
-    arrival comes later than the latest register of its set, so the work hardly depends on the number of
-    registers. With equal weights the similarity is Jaccard's; repeated elements of a set change nothing then.
+    both depend on the element alone. A register keeps the element that arrives first. An element ends when its
+    next arrival comes later than the latest register of its set, so the work hardly depends on the number
+    of registers. With equal weights the similarity is Jaccard's; repeated elements of a set change nothing
+    then. A set without elements has a signature of zeros.
     """
     sets = len(counts)
     out = np.full(sets * registers, np.inf)
+    winner = np.zeros(sets * registers, _U)
     owner = np.repeat(np.arange(sets), counts)
     element, time, rate = hashes, np.zeros(len(hashes)), weights
     round_ = 0
@@ -68,17 +70,20 @@ def prob_min_hash(hashes: np.ndarray, counts: np.ndarray, registers: int = REGIS
         step = -np.log(((draw >> _U(11)).astype(np.float64) + 0.5) * 2.0**-53)
         time = time + (step if rate is None else step / rate)
         register = (mix(draw) >> _U(32)) * _U(registers) >> _U(32)
-        np.minimum.at(out, owner * registers + register.astype(np.int64), time)
+        place = owner * registers + register.astype(np.int64)
+        np.minimum.at(out, place, time)
+        first = out[place] == time
+        winner[place[first]] = element[first]
         latest = out.reshape(sets, registers).max(1)
         on = time < latest[owner]
         element, time, owner = element[on], time[on], owner[on]
         rate = None if rate is None else rate[on]
-    return out.reshape(sets, registers)
+    return winner.reshape(sets, registers)
 
 
 def bands_and_sketch(signatures: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of each signature the hashes of its bands, with the salt mixed in, and its sketch as two words."""
-    bits = mix(signatures.view(_U) + _U(1))
+    bits = mix(signatures + _U(1))
     bands = np.zeros((len(bits), BANDS), _U)
     for i in range(BAND):
         bands = mix(bands * _U(0xD6E8FEB86659FD93) + bits[:, i::BAND])
