@@ -51,6 +51,11 @@ def live(state: State) -> State:
     return replace(state, chunks=chunks, embeddings=vectors, new_chunks=None, new_embeddings=None)
 
 
+def settled(state: State) -> State:
+    """The small tables written, so that what follows does not carry the plans of all rounds before."""
+    return replace(state, **{t: materialize(getattr(state, t), t) for t in ("records", "series_keys", "keys")})
+
+
 def at(now: datetime) -> Column:
     """A time in whole seconds."""
     return F.date_trunc("second", F.lit(now))
@@ -145,7 +150,9 @@ def upsert(state: State, docs: DataFrame, now: datetime, embedder: Embedder, max
             new_chunks=_plus(vectors.select(*state.chunks.columns), state.new_chunks),
             new_embeddings=_plus(stored.select(F.col("id").alias("chunk_id"), "vector", F.size("vector").alias("dim")), state.new_embeddings),
         )
-        state = clean_other_series(append_series(state, kept), kept)
+        kept = materialize(kept, "kept")
+        state = append_series(state, kept)
+        state = clean_other_series(replace(state, series_keys=materialize(state.series_keys, "links")), kept)
         lost = vectors.where(F.col("embed_error").isNotNull()).groupBy("record_id").agg(F.count(F.lit(1)).alias("skipped_chunks"), F.first("embed_error").alias("embed_error"))
         done = new.join(lost, "record_id", "left").select("key", "series", "pos", "path", F.lit("processed").alias("outcome"), F.col("embed_error").alias("error"), F.coalesce("skipped_chunks", F.lit(0)).alias("skipped_chunks"))
         said = lambda df, outcome, error: df.select("key", "series", "pos", "path", F.lit(outcome).alias("outcome"), F.lit(error).cast("string").alias("error"), F.lit(0).cast("long").alias("skipped_chunks"))
@@ -153,7 +160,7 @@ def upsert(state: State, docs: DataFrame, now: datetime, embedder: Embedder, max
         touched = new.select("key").distinct()
         rows = touched.join(state.keys, "key", "left_anti").select("key", F.lit(0).cast("long").alias("doc_count"), at(now).alias("last_accessed_at"), at(now).alias("last_updated_at"), F.lit(None).cast("timestamp").alias("trashed_at"))
         keys = state.keys.join(touched.withColumn("_new", F.lit(True)), "key", "left").withColumn("last_updated_at", F.when(F.col("_new"), at(now)).otherwise(F.col("last_updated_at"))).select(state.keys.columns)
-        state = replace(state, keys=document_counts(keys.unionByName(rows), state.records, touched))
+        state = settled(replace(state, keys=document_counts(keys.unionByName(rows), state.records, touched)))
     return state, outcomes
 
 
