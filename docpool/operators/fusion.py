@@ -34,7 +34,11 @@ def hits(scored: DataFrame, by: list[str]) -> DataFrame:
 
 
 def _with(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
-    return left.join(right, by) if by else left.crossJoin(F.broadcast(right))  # right is one row
+    """left with the columns of right, which has a row for each query; of a single query it is fetched."""
+    if by:
+        return left.join(right, by)
+    row = right.first()
+    return left.select("*", *[F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in right.schema.fields])
 
 
 def reciprocal_ranks(scored: DataFrame, by: list[str]) -> DataFrame:
