@@ -35,6 +35,9 @@ STRICT = {
     "markdown": re.compile(r"(?<!\w)\*\*[^\n]+?\*\*(?!\w)|(?<!\w)__[^\n]+?__(?!\w)|(?<![\w*])\*(?![\s*])[^*\n]*(?<!\s)\*(?![\w*])|~~[^\n]+?~~|\[[^\n]+?\]\([^\n]+?\)|^\|[^\n]*\|[ \t]*$|^> ", re.M),
 }
 
+#: A formula within a line, as STRICT has it.
+_DOLLARS = r"(?<![\w$])\$(?!\s)[^$\n]*[\\^_][^$\n]*(?<!\s)\$(?![\w$])"
+
 #: Kinds of candidate marks: family, what a text must hold, and a pattern that lets look-alikes through.
 KINDS: dict[str, tuple[str, str, re.Pattern]] = {
     "tag": ("html", "<", re.compile(r"</?\s*([A-Za-z][A-Za-z0-9]*)(?:[\s/,][^<>]*)?>")),
@@ -47,7 +50,7 @@ KINDS: dict[str, tuple[str, str, re.Pattern]] = {
     "wikitable": ("wiki", "{|", re.compile(r"\{\|")),
     "command": ("latex", "\\", re.compile(r"\\(?:[A-Za-z]+\*?\{?|[(\[])")),
     "display": ("latex", "$$", re.compile(r"\$\$(?:[^$]|\$(?!\$))*\$\$")),
-    "dollar": ("latex", "$", re.compile(r"\$(?:[^$\n]*\$)?")),
+    "dollar": ("latex", "$", re.compile(rf"{_DOLLARS}|\$(?:[^$\n]*(?!{_DOLLARS})\$)?")),
     "strong": ("markdown", "**", re.compile(r"\*\*[^\n]+?\*\*")),
     "under": ("markdown", "__", re.compile(r"__[^\n]+?__")),
     "star": ("markdown", "*", re.compile(r"(?<!\*)\*(?!\*)[^*\n]*(?:(?=\*)\*)?")),
@@ -58,11 +61,22 @@ KINDS: dict[str, tuple[str, str, re.Pattern]] = {
 }
 KIND_NAMES = list(KINDS)
 _TAG_SET = frozenset(TAGS)
+_VOID = frozenset(("br", "hr", "img"))
+_CODE = frozenset(("pre", "code", "kbd"))
+#: Formulas, exactly: between dollars, in brackets, and environments of mathematics.
+_FORMULA = re.compile(
+    r"\$\$(?:[^$]|\$(?!\$))++\$\$|" + _DOLLARS + r"|\\\((?:(?!\\[()])[\s\S])*+\\\)|\\\[(?:(?!\\[\[\]])[\s\S])*+\\\]"
+    r"|\\begin\{((?:equation|align|alignat|flalign|gather|multline|eqnarray|math|displaymath)\*?)\}(?:(?!\\(?:begin|end)\{\1\})[\s\S])*+\\end\{\1\}"
+)
 
 
 @dataclass
 class Mark:
-    """A candidate mark: its span, its kind, the tag or command it names, and its place in the tree of marks."""
+    """A candidate mark: its span, its kind, the tag or command it names, and its place in the tree of marks.
+
+    `close` is where the element or formula that it opens ends, else its own end; `literal` says what around it
+    keeps it as it is: an "element" of code, a "formula" or a "comment"; or that it is "crossing" the end of one.
+    """
 
     kind: str
     start: int
@@ -74,6 +88,17 @@ class Mark:
     score: float = 0.0
     residue: bool = False
     verbatim: bool = False
+    close: int = 0
+    formula: bool = False
+    literal: str = ""
+
+    def holds(self) -> str:
+        """What the mark's descendants are kept by, if it is residue."""
+        if self.residue and self.formula:
+            return "formula"
+        if self.kind == "comment":
+            return "comment"
+        return "element" if self.residue and self.kind == "tag" and self.name in _CODE and self.close > self.end else ""
 
 
 def unix_lines(text: str) -> str:
@@ -105,28 +130,56 @@ def masked(text: str, code: list[tuple[int, int, bool]]) -> str:
     return "".join([*out, text[at:]])
 
 
+def _pair(text: str, found: list[Mark]) -> None:
+    """Sets the partners of tags and where elements close; an element that another one's closing tag ends has no partner."""
+    open_: list[Mark] = []
+    places: dict[str, list[int]] = {}  # by name, where open_ has its elements
+    apart = 0  # within a comment or formula no tag belongs to an element
+    for m in found:
+        if m.start < apart:
+            continue
+        if m.kind == "comment" or m.formula:
+            apart = m.close
+        elif m.kind == "tag" and text.startswith("</", m.start):
+            if places.get(m.name):
+                at = places[m.name][-1]
+                for other in open_[at:]:
+                    places[other.name].pop()
+                other = open_[at]
+                other.partner, m.partner, other.close = m, other, m.end
+                del open_[at:]
+        elif m.kind == "tag" and m.name not in _VOID and not text.startswith("/>", m.end - 2):
+            places.setdefault(m.name, []).append(len(open_))
+            open_.append(m)
+
+
 def marks(text: str) -> list[Mark]:
-    """All candidate marks as a tree in document order: a mark's parent is the least mark or element around it."""
+    """All candidate marks as a tree in document order: a mark's parent is the least mark or element around it.
+
+    An opening tag stands for its element, up to the closing tag, which has the same parent; a mark that opens a
+    formula stands for the whole of it.
+    """
     found: list[Mark] = []
     for kind, (_, trigger, pattern) in KINDS.items():
         if trigger in text:
-            found += [Mark(kind, m.start(), m.end(), (m[1] if kind == "tag" else m[0] if kind == "command" else "").lower()) for m in pattern.finditer(text)]
+            found += [Mark(kind, m.start(), m.end(), (m[1] if kind == "tag" else m[0] if kind == "command" else "").lower(), close=m.end()) for m in pattern.finditer(text)]
     found.sort(key=lambda m: (m.start, -m.end))
-    open_: list[tuple[int, Mark]] = []  # (end, mark); elements end at their closing tag
+    formulas = dict(m.span() for m in _FORMULA.finditer(text)) if "$" in text or "\\" in text else {}
     for m in found:
-        while open_ and open_[-1][0] <= m.start and not (open_[-1][1].kind == "tag" and open_[-1][1].partner is None and open_[-1][0] == -1):
+        if m.start in formulas and (m.kind == "command" or m.kind in ("display", "dollar") and m.end == formulas[m.start]):
+            m.close, m.formula = formulas[m.start], True
+    _pair(text, found)
+    open_: list[Mark] = []
+    for m in found:
+        while open_ and open_[-1].close <= m.start:
             open_.pop()
-        if m.kind == "tag" and text.startswith("</", m.start):
-            for i in range(len(open_) - 1, max(-1, len(open_) - 20), -1):
-                other = open_[i][1]
-                if other.kind == "tag" and other.name == m.name and other.partner is None and not text.startswith("</", other.start):
-                    other.partner, m.partner = m, other
-                    del open_[i + 1 :]
-                    break
-        m.parent = open_[-1][1] if open_ else None
+        if m.partner and m.partner.start < m.start:
+            m.parent = m.partner.parent
+        else:
+            m.parent = next((o for o in reversed(open_) if o.close >= m.close), None)
         if m.parent:
             m.parent.children.append(m)
-        open_.append((m.end, m))
+        open_.append(m)
     return found
 
 
@@ -192,15 +245,31 @@ def labels(text: str, found: list[Mark], code: list[tuple[int, int, bool]]) -> n
 
 
 def decode(found: list[Mark], scores: np.ndarray, code: list[tuple[int, int, bool]], threshold: float) -> None:
-    """Sets `residue`, from the root down: nothing within code or a literal span is residue; both tags of an element agree."""
+    """Sets `residue` and, from the root down, `literal`: nothing within code is residue, both tags of an element agree, and
+    descendants of a formula, a comment or an element of code are literal, as is a mark that begins or ends within one.
+    """
     starts = [c[0] for c in code]
     for m, s in zip(found, scores, strict=True):
         m.score = float(s)
+    kept: list[tuple[int, int]] = []  # the contents of what is literal, in order
     for m in found:
         k = bisect.bisect_right(starts, m.start) - 1
         verbatim = k >= 0 and m.start < code[k][1]
         score = max(m.score, m.partner.score) if m.partner else m.score
         m.verbatim, m.residue = verbatim, not verbatim and score >= threshold
+        above = m.parent
+        while above and above.literal == "crossing":
+            above = above.parent
+        m.literal = (above.literal or above.holds()) if above else ""
+        if not m.literal and kept and m.start < kept[-1][1]:
+            m.literal = "crossing"
+        if not m.literal and m.holds():
+            kept.append((m.end, m.partner.start) if m.partner else (m.start, m.close))
+    begins = [a for a, _ in kept]
+    for m in found:
+        k = bisect.bisect_left(begins, m.end) - 1
+        if not m.literal and k >= 0 and m.start < begins[k] and m.end < kept[k][1]:
+            m.literal = "crossing"
 
 
 def train(texts: list[str], *, trees: int = 40, depth: int = 5) -> tuple[gbt.Trees, float]:
@@ -264,7 +333,7 @@ def _replacement(text: str, m: Mark) -> list[tuple[int, int, str]]:
     if m.kind == "wikitable":
         return [(a, b, "")]
     if m.kind == "command":
-        if not t.endswith("{"):
+        if m.formula or not t.endswith("{"):
             return []  # the brackets of a formula stay
         close = text.find("}", b)
         name = m.name.rstrip("{*")
@@ -285,13 +354,18 @@ def _replacement(text: str, m: Mark) -> list[tuple[int, int, str]]:
     return []  # formulas stay as they are
 
 
+def _of_code(m: Mark) -> bool:
+    """Whether a mark within an element of code belongs to how HTML writes it: the code of a pre, or a character reference."""
+    return m.literal == "element" and (m.kind == "entity" or m.kind == "tag" and m.name in ("code", "kbd") and m.parent is not None and m.parent.name == "pre" and not m.parent.literal)
+
+
 def clean(text: str, found: list[Mark]) -> str:
     """The text without its residue: headings, list items, code and formulas stay, in Markdown's form."""
     edits: list[tuple[int, int, str]] = []
     for m in found:
-        if m.residue:
+        if m.residue and (not m.literal or _of_code(m)):
             edits += _replacement(text, m)
-        elif m.name == "\\item" and not m.verbatim:
+        elif m.name == "\\item" and not m.verbatim and not m.literal:
             edits.append((m.start, m.end + (text[m.end : m.end + 1] == " "), "- "))
     edits.sort(key=lambda e: (e[0], -e[1]))
     out, at = [], 0
@@ -307,7 +381,8 @@ def markup_residue(rows: DataFrame, row_id: str, fields: list[str], *, sample_ro
 
     Marks of HTML, wiki, LaTeX and Markdown markup, and look-alikes, form a tree; boosted trees over features of
     its nodes tell residue from text, and are decoded from the root down, so that nothing within code is
-    residue and both tags of an element agree. A family is reported if a mark of it was found to be residue
+    residue, both tags of an element agree, and `clean` leaves what is within a formula, a comment, or an HTML element
+    of code (but for character references) as it is; such marks count for the families all the same. A family is reported if a mark of it was found to be residue
     and the family's exact pattern (STRICT) confirms it outside code. Headings, list items, code blocks and
     formulas are kept in `clean`, in Markdown's form.
 

@@ -86,3 +86,41 @@ def test_null_empty_long_none(spark):
     assert mu.markup_residue(frame(spark, [("x", "y")]).limit(0), "id", ["text"]).collect() == []
     df = frame(spark, [("<b>x</b>", None)])
     assert mu.markup_residue(df.unionByName(df), "id", ["text"]).count() == 2
+
+
+def test_tree_of_elements():
+    text = "<div><p>a <b>c</b> d<br>e</p>" + "<i>" * 30 + "</div> <b>x"
+    found = mu.marks(text)
+    div, p, b, close_b, br, close_p = found[:6]
+    close_div, last = found[-2:]
+    assert div.partner is close_div and close_div.partner is div and p.partner is close_p and b.partner is close_b
+    assert p.parent is close_p.parent is div and b.parent is close_b.parent is br.parent is p
+    assert div.parent is close_div.parent is last.parent is None and last.partner is None
+    assert p.children == [b, close_b, br] and all(m.partner is None and m.parent is div for m in found[6:-2])
+
+
+def test_both_tags_agree():
+    found = mu.marks("<b>x</b>")
+    mu.decode(found, np.array([0.9, 0.0]), [], 0.5)
+    assert [m.residue for m in found] == [True, True]
+
+
+@pytest.mark.parametrize(
+    ("given", "wanted"),
+    [
+        ("$$ \\frac{a}{b} $$ and <b>c</b>", "$$ \\frac{a}{b} $$ and c"), ("so \\(\\frac{a}{b}\\) and \\textbf{c}", "so \\(\\frac{a}{b}\\) and c"), ("for $5, $\\frac{a}{b}$ **c**", "for $5, $\\frac{a}{b}$ c"),
+        ("\\begin{equation}\n\\sqrt{a}\n\\end{equation}\n**c**", "\\begin{equation}\n\\sqrt{a}\n\\end{equation}\nc"), ("costs $5 and <b>c</b> for $6", "costs $5 and c for $6"),
+        ("<pre><code>**x** [[y]] \\section{z} &amp;</code></pre>**c**", "```\n**x** [[y]] \\section{z} &\n```\nc"), ("<code>**x**</code> **c**", "`**x**` c"), ("<!-- **x** <b> --> **c** </b>", "c"),
+        ("<code>a **b</code> [[c]] **d** e", "`a **b` c **d** e"),
+    ],
+)
+def test_what_is_within_formulas_and_code_stays(given, wanted):
+    model, threshold = mu.train(corpus())
+    found, _ = mu.analysed(given, model, threshold)
+    assert mu.clean(given, found).strip() == wanted
+
+
+def test_families_count_within_formulas_and_code(spark):
+    texts = [*corpus(), "<pre>**x** [[y]]</pre>", "<!-- **x** [[y]] -->"]
+    got = {r.row_id: set(r.families) for r in mu.markup_residue(frame(spark, [(t, None) for t in texts]), "id", ["text"]).collect()}
+    assert got[len(texts) - 2] == got[len(texts) - 1] == {"html", "wiki", "markdown"}
