@@ -154,7 +154,7 @@ def _pair(text: str, found: list[Mark]) -> None:
 
 
 def marks(text: str) -> list[Mark]:
-    """All candidate marks as a tree in document order: a mark's parent is the least mark or element around it.
+    """All candidate marks of a masked text as a tree in document order: a mark's parent is the least mark or element around it.
 
     An opening tag stands for its element, up to the closing tag, which has the same parent; a mark that opens a
     formula stands for the whole of it.
@@ -188,7 +188,7 @@ def _class(c: str) -> int:
 
 
 def features(text: str, found: list[Mark], code: list[tuple[int, int, bool]]) -> np.ndarray:
-    """Bins of the marks' features: attribute tokens, context, density, depth, and statistics of siblings."""
+    """Bins of the features of a masked text's marks: attribute tokens, context, density, depth, and statistics of siblings."""
     out = np.zeros((len(found), 18), np.uint8)
     if not found:
         return out
@@ -230,10 +230,9 @@ def features(text: str, found: list[Mark], code: list[tuple[int, int, bool]]) ->
     return np.minimum(out, gbt.BINS - 1)
 
 
-def labels(text: str, found: list[Mark], code: list[tuple[int, int, bool]]) -> np.ndarray:
-    """Which marks are residue by STRICT: those that overlap a match of their family."""
-    clear = masked(text, code)
-    spans = {f: [m.span() for m in STRICT[f].finditer(clear)] for f in {KINDS[m.kind][0] for m in found}}
+def labels(text: str, found: list[Mark]) -> np.ndarray:
+    """Which marks of a masked text are residue by STRICT: those that overlap a match of their family."""
+    spans = {f: [m.span() for m in STRICT[f].finditer(text)] for f in {KINDS[m.kind][0] for m in found}}
     ends = {f: [b for _, b in x] for f, x in spans.items()}
 
     def overlaps(m: Mark) -> bool:
@@ -272,15 +271,21 @@ def decode(found: list[Mark], scores: np.ndarray, code: list[tuple[int, int, boo
             m.literal = "crossing"
 
 
+def parsed(text: str) -> tuple[str, list[tuple[int, int, bool]], list[Mark]]:
+    """The text masked, its code, and its marks: code holds none and hides none after it."""
+    code = code_spans(text)
+    clear = masked(text, code)
+    return clear, code, marks(clear)
+
+
 def train(texts: list[str], *, trees: int = 40, depth: int = 5) -> tuple[gbt.Trees, float]:
     """Boosted trees fitted to marks that STRICT labels, and the threshold: low enough for 999 of 1,000 marks of the sample."""
     xs, ys = [], []
     for raw in texts:
-        text = unix_lines(raw)
-        code, found = code_spans(text), marks(text)
+        clear, code, found = parsed(unix_lines(raw))
         if found:
-            xs.append(features(text, found, code))
-            ys.append(labels(text, found, code))
+            xs.append(features(clear, found, code))
+            ys.append(labels(clear, found))
     x = np.concatenate(xs) if xs else np.zeros((0, 18), np.uint8)
     y = np.concatenate(ys) if ys else np.zeros(0, np.int64)
     model = gbt.fit(x, y, trees=trees, depth=depth)
@@ -289,8 +294,8 @@ def train(texts: list[str], *, trees: int = 40, depth: int = 5) -> tuple[gbt.Tre
 
 
 def analysed(text: str, model: gbt.Trees, threshold: float) -> tuple[list[Mark], list[tuple[int, int, bool]]]:
-    code, found = code_spans(text), marks(text)
-    decode(found, model.scores(features(text, found, code)) if found else np.zeros(0), code, threshold)
+    clear, code, found = parsed(text)
+    decode(found, model.scores(features(clear, found, code)) if found else np.zeros(0), code, threshold)
     return found, code
 
 
@@ -298,8 +303,8 @@ _BREAKS = {"br", "p", "div", "tr", "table", "ul", "ol", "dl", "blockquote", "hr"
 _LATEX_TITLES = {"\\chapter": "# ", "\\section": "# ", "\\subsection": "## ", "\\subsubsection": "### ", "\\paragraph": "#### "}
 
 
-def _replacement(text: str, m: Mark) -> list[tuple[int, int, str]]:
-    """What a residue mark becomes: cuts of its text, (start, end, instead)."""
+def _replacement(text: str, clear: str, m: Mark) -> list[tuple[int, int, str]]:
+    """What a residue mark becomes: cuts of its text, (start, end, instead); clear is the text masked, where the mark's parts are sought."""
     t, a, b = text[m.start : m.end], m.start, m.end
     if m.kind == "tag":
         closing = t.startswith("</")
@@ -320,8 +325,10 @@ def _replacement(text: str, m: Mark) -> list[tuple[int, int, str]]:
     if m.kind == "entity":
         return [(a, b, html.unescape(t).replace("\xa0", " "))]
     if m.kind in ("link", "template"):
-        body = t[2:-2].split("|")
-        return [(a, b, body[-1] if m.kind == "link" else body[-1].rpartition("=")[2])]
+        at = max(clear.rfind("|", a + 2, b - 2) + 1, a + 2)
+        if m.kind == "template":
+            at = max(clear.rfind("=", at, b - 2) + 1, at)
+        return [(a, b, text[at : b - 2])]
     if m.kind in ("quotes", "strong", "under", "star", "strike"):
         c = t[0]
         n, k = len(t) - len(t.lstrip(c)), len(t) - len(t.rstrip(c))
@@ -335,20 +342,24 @@ def _replacement(text: str, m: Mark) -> list[tuple[int, int, str]]:
     if m.kind == "command":
         if m.formula or not t.endswith("{"):
             return []  # the brackets of a formula stay
-        close = text.find("}", b)
+        close = clear.find("}", b)
         name = m.name.rstrip("{*")
         if name in ("\\begin", "\\end", "\\cite", "\\label", "\\ref"):
             return [(a, close + 1 if close >= 0 else b, "")]
         head = _LATEX_TITLES.get(name)
         return [(a, b, head or ""), *([(close, close + 1, "")] if close >= 0 else [])]
     if m.kind == "mdlink":
-        mid = t.find("](")
+        mid = clear.find("](", a) - a
         return [(a - (text[a - 1 : a] == "!"), a + 1, ""), (a + mid, b, "")]
     if m.kind == "row":
         line = t.strip()
         if re.fullmatch(r"\|[\s:|-]*\|", line):
             return [(a, min(len(text), b + 1), "")]
-        return [(a, b, " ".join(x.strip() for x in line.strip("|").split("|")))]
+        at, cells = text.find(line, a) + len(line) - len(line.lstrip("|")), []
+        for x in clear[at : at + len(line.strip("|"))].split("|"):
+            cells.append(text[at : at + len(x)].strip())
+            at += len(x) + 1
+        return [(a, b, " ".join(cells))]
     if m.kind == "quote":
         return [(a, b, "")]
     return []  # formulas stay as they are
@@ -362,9 +373,10 @@ def _of_code(m: Mark) -> bool:
 def clean(text: str, found: list[Mark]) -> str:
     """The text without its residue: headings, list items, code and formulas stay, in Markdown's form."""
     edits: list[tuple[int, int, str]] = []
+    clear = masked(text, code_spans(text)) if found else text
     for m in found:
         if m.residue and (not m.literal or _of_code(m)):
-            edits += _replacement(text, m)
+            edits += _replacement(text, clear, m)
         elif m.name == "\\item" and not m.verbatim and not m.literal:
             edits.append((m.start, m.end + (text[m.end : m.end + 1] == " "), "- "))
     edits.sort(key=lambda e: (e[0], -e[1]))
@@ -399,20 +411,19 @@ def markup_residue(rows: DataFrame, row_id: str, fields: list[str], *, sample_ro
             for k, name in enumerate(fields):
                 for part in slices(iter([batch]), k + 1):
                     ids, families, texts = [], [], []
-                    parsed = []
+                    held = []
                     for i, raw in zip(part.column(0).to_pylist(), part.column(k + 1).to_pylist(), strict=True):
                         if raw is not None:
                             text = unix_lines(raw)
-                            code, found = code_spans(text), marks(text)
-                            parsed.append((i, text, code, found, features(text, found, code) if found else None))
-                    x = [p[4] for p in parsed if p[4] is not None]
+                            clear, code, found = parsed(text)
+                            held.append((i, text, clear, code, found, features(clear, found, code) if found else None))
+                    x = [p[5] for p in held if p[5] is not None]
                     scores = model.scores(np.concatenate(x)) if x else np.zeros(0)
                     at = 0
-                    for i, text, code, found, _ in parsed:
+                    for i, text, clear, code, found, _ in held:
                         decode(found, scores[at : at + len(found)], code, threshold)
                         at += len(found)
                         said = {KINDS[m.kind][0] for m in found if m.residue}
-                        clear = masked(text, code) if said else text
                         ids.append(i)
                         families.append([f for f in FAMILIES if f in said and STRICT[f].search(clear)])
                         texts.append(clean(text, found) if cleaned else None)

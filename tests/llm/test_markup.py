@@ -124,3 +124,19 @@ def test_families_count_within_formulas_and_code(spark):
     texts = [*corpus(), "<pre>**x** [[y]]</pre>", "<!-- **x** [[y]] -->"]
     got = {r.row_id: set(r.families) for r in mu.markup_residue(frame(spark, [(t, None) for t in texts]), "id", ["text"]).collect()}
     assert got[len(texts) - 2] == got[len(texts) - 1] == {"html", "wiki", "markdown"}
+
+
+SWALLOWED = [
+    ("Index `a[0]`, see [guide](g.md)", "markdown", "Index `a[0]`, see guide"), ("use `**` for **this**", "markdown", "use `**` for this"), ("a `[[` opens [[x]]", "wiki", "a `[[` opens x"),
+    ("a `{{` opens {{x}}", "wiki", "a `{{` opens x"), ("a `__` opens __x__", "markdown", "a `__` opens x"), ("a `<!--` opens\n\n<!-- x --> it", "html", "a `<!--` opens\n\n it"),
+    ("a `~~` opens ~~x~~", "markdown", "a `~~` opens x"), ("a `$` opens $x_1$", "latex", "a `$` opens $x_1$"), ("see `<b>` and <b>x</b> y", "html", "see `<b>` and x y"),
+    ("see [`a[0]`](g.md)", "markdown", "see `a[0]`"),
+    ("see [`a](b`](g.md)", "markdown", "see `a](b`"), ("\\textbf{`a}` b} c", "latex", "`a}` b c"), ("| `a|b` | c |", "markdown", "`a|b` c"), ("[[p|`a|b` c]]", "wiki", "`a|b` c"),
+]
+
+
+def test_code_hides_no_mark_after_it(spark):
+    texts = [t for t, _, _ in SWALLOWED]
+    got = {r.row_id: (r.families, r.clean) for r in mu.markup_residue(frame(spark, [(t, None) for t in texts + corpus()]), "id", ["text"]).collect()}
+    for i, (t, family, wanted) in enumerate(SWALLOWED):
+        assert got[i] == ([family], wanted), t
