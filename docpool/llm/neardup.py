@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
@@ -20,7 +21,7 @@ REGISTERS = BANDS * BAND
 SKETCH = 128
 #: Rows of a bucket that are compared in one task; larger buckets are cut into tiles.
 TILE = 256
-#: Pairs of copies that two classes are expanded into; beyond it the classes' first rows stand for them.
+#: Pairs of copies that two classes are expanded into at once; beyond it their first rows stand for them, or blocks are paired.
 EXPAND = 4096
 
 _U = np.uint64
@@ -198,12 +199,29 @@ def near_duplicates(
     return classes, links.where(F.col("similarity") >= threshold)
 
 
+def _block_pairs(classes: DataFrame, linked: DataFrame, block: int, salts: int = 16) -> DataFrame:
+    """(x, y): all pairs of rows of two linked classes (rep_a, rep_b, na, nb), by blocks of about `block` rows of a class."""
+    linked = linked.select("rep_a", "rep_b", *[F.ceil(F.col(n) / block).cast("int").alias(p) for n, p in (("na", "parts_a"), ("nb", "parts_b"))])
+    ends = linked.select(F.explode(F.array(F.struct(F.col("rep_a").alias("rep"), F.col("parts_a").alias("parts")), F.struct(F.col("rep_b").alias("rep"), F.col("parts_b").alias("parts")))).alias("e")).select("e.*").distinct()
+    ends = ends.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    rows = classes.select("rep", "id", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt")).join(ends, ["rep", "salt"])
+    blocks = rows.groupBy("rep", F.pmod(F.xxhash64(F.col("id"), F.lit(1)), F.col("parts")).cast("int").alias("part")).agg(F.collect_list("id").alias("ids"))
+    tiles = linked.withColumn("part_a", F.explode(F.sequence(F.lit(0), F.col("parts_a") - 1))).withColumn("part_b", F.explode(F.sequence(F.lit(0), F.col("parts_b") - 1)))
+    for side in "ab":
+        tiles = tiles.join(blocks.select(F.col("rep").alias(f"rep_{side}"), F.col("part").alias(f"part_{side}"), F.col("ids").alias(f"ids_{side}")), [f"rep_{side}", f"part_{side}"])
+    tiles = tiles.repartition("rep_a", "rep_b", "part_a", "part_b")
+    return tiles.select(F.explode("ids_a").alias("x"), "ids_b").select("x", F.explode("ids_b").alias("y"))
+
+
 def expanded(classes: DataFrame, links: DataFrame, *, copies: bool = True, limit: int = EXPAND) -> DataFrame:
     """Distinct pairs id_a < id_b of rows: those of linked classes and, with `copies`, those of a class.
 
     Classes are expanded into all pairs of their rows up to `limit` pairs; beyond that a class gives each row
     with its first one, and a link its first rows only, which together still hold every link and membership.
+    Without `copies` no pair would hold the membership, so links are expanded into all pairs whatever their
+    number: both classes are cut into blocks, and each two blocks, about `limit` pairs, are a row of their own.
     """
+    links = materialize(links.select("rep_a", "rep_b"), "links")
     sizes = classes.groupBy("rep").agg(F.count(F.lit(1)).alias("n"))
     within = sizes.where(F.col("n") > 1).select(F.col("rep").alias("rep_a"), F.col("rep").alias("rep_b"), F.col("n").alias("na"), F.col("n").alias("nb"))
     across = links.select("rep_a", "rep_b").join(sizes.select(F.col("rep").alias("rep_a"), F.col("n").alias("na")), "rep_a").join(sizes.select(F.col("rep").alias("rep_b"), F.col("n").alias("nb")), "rep_b")
@@ -212,6 +230,9 @@ def expanded(classes: DataFrame, links: DataFrame, *, copies: bool = True, limit
     a, b = classes.select(F.col("rep").alias("rep_a"), F.col("id").alias("x")), classes.select(F.col("rep").alias("rep_b"), F.col("id").alias("y"))
     pairs = small.join(a, "rep_a").join(b, "rep_b").select("x", "y")
     large = both.where(F.col("na") * F.col("nb") > limit)
+    if not copies:
+        pairs = pairs.unionByName(_block_pairs(classes, large, max(1, math.isqrt(limit))))
+        return pairs.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
     star = large.where(F.col("rep_a") == F.col("rep_b")).join(a, "rep_a").select(F.col("rep_a").alias("x"), F.col("x").alias("y"))
     firsts = large.where(F.col("rep_a") != F.col("rep_b")).select(F.col("rep_a").alias("x"), F.col("rep_b").alias("y"))
     return pairs.unionByName(star).unionByName(firsts).where(F.col("x") != F.col("y")).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()

@@ -96,3 +96,14 @@ def test_a_hot_bucket_is_cut(spark):
     members = spark.range(50).select(F.lit(1).alias("bucket"), "id", F.lit(0).cast("long").alias("s1"), F.lit(0).cast("long").alias("s2"))
     assert nd.bucket_pairs(members, 8).count() == 50 * 49 // 2
     assert nd.bucket_pairs(members.limit(0), 8).count() == 0
+
+
+def test_links_of_large_classes_without_copies(spark):
+    a, b, c = ("docs/specs/a_long_name_of_a_file.md", "docs/specs/A_long_name_of_a_file.md", "docs/specs/a_long_name_of_a_file.mdx")
+    options = {"group": "grp", "fold": str.lower, "exact": True, "size": 3, "threshold": 0.8, "min_chars": 0}
+    rows = [(i, a if i % 2 else b, "K") for i in range(1, 130)] + [(200, c, "K"), (201, c, "L"), (202, a, "L")]
+    of = {i: t for i, t, g in rows if g == "K"}
+    wanted = {(i, j) for i in of for j in of if i < j and of[i] != of[j]} | {(201, 202)}
+    assert sum(of[i] == a for i in of) * sum(of[i] == b for i in of) > nd.EXPAND
+    assert pairs(spark, rows, **options, expand={"copies": False}) == wanted
+    assert pairs(spark, rows[-40:], **options, expand={"copies": False, "limit": 10}) == {(i, j) for i, j in wanted if i >= rows[-40][0]}
