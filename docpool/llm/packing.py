@@ -36,7 +36,7 @@ def price(lengths: np.ndarray, values: np.ndarray, supply: np.ndarray, capacity:
     for c in range(int(lengths[0]), capacity + 1):
         n = int(np.searchsorted(lengths, c, "right"))
         options = best[c - lengths[:n]] + values[:n]
-        i = int(options.argmax())
+        i = n - 1 - int(options[::-1].argmax())  # of equal ones the longest, so that the short are left to fill up
         if options[i] > best[c - 1]:
             best[c], taken[c] = options[i], i
         else:
@@ -87,8 +87,10 @@ def configurations(lengths: np.ndarray, supply: np.ndarray, capacity: int, round
 
     The covering program "each length at least its supply, with the least number of packs" is solved by
     multiplicative weights: each round prices the best configuration under the current weights, uses it, and
-    lowers the weights of the lengths it covers. The mean solution is scaled to the supply and rounded down;
-    what is left over, less than a pack for each configuration and length, goes into packs by best fit.
+    lowers the weights of the lengths it covers. The mean solution is scaled to the total demand, and each
+    configuration in turn rounded down to what the supply still left fills whole, so that a scarce length
+    holds back only the configurations that have it. What is left over goes into packs by best fit. Of the whole
+    demand, a half, a quarter and so on down to none, the largest part counts that leaves the fewest packs.
     """
     order = np.argsort(lengths)
     lengths, supply = lengths[order].astype(np.int64), supply[order].astype(np.int64)
@@ -102,17 +104,20 @@ def configurations(lengths: np.ndarray, supply: np.ndarray, capacity: int, round
         load = pattern / share
         weights = weights * np.exp(-0.5 * load / load.max())
         weights = np.maximum(weights / weights.max(), 1e-12)
-    out: list[tuple[np.ndarray, int]] = []
-    left = supply.copy()
-    covered = sum(p * n for p, n in used.values())
-    scale = float(np.min(supply[covered > 0] / covered[covered > 0]))
-    for pattern, n in used.values():
-        if times := int(n * scale):
-            out.append((pattern, times))
-            left = left - pattern * times
-    out += fill(lengths, left, capacity)
+    packs = float(lengths @ supply) / capacity  # the total demand
+    best: list[tuple[np.ndarray, int]] = []
+    for part in (1, 1 / 2, 1 / 4, 1 / 8, 1 / 16, 0):
+        out: list[tuple[np.ndarray, int]] = []
+        left = supply.copy()
+        for pattern, n in used.values():
+            if times := min(int(n * packs * part / rounds), int((left[pattern > 0] // pattern[pattern > 0]).min())):
+                out.append((pattern, times))
+                left = left - pattern * times
+        out += fill(lengths, left, capacity)
+        if not best or sum(n for _, n in out) < sum(n for _, n in best):
+            best = out
     back = np.argsort(order)
-    return [(p[back], n) for p, n in out]
+    return [(p[back], n) for p, n in best]
 
 
 def _plan(rounds: int):

@@ -30,6 +30,20 @@ def test_configurations_use_up_the_supply(seed):
     assert sum(n for _, n in found) <= 1.02 * decreasing + 3
 
 
+def test_scarce_lengths_do_not_hold_back_the_program(monkeypatch):
+    rng = np.random.default_rng(5)
+    lengths, supply = np.arange(5, 200), rng.integers(1, 300, 195)
+    supply[rng.permutation(195)[:40]] = 1
+    fits = []
+    fill = pk.fill
+    monkeypatch.setattr(pk, "fill", lambda *a: fits.append(fill(*a)) or fits[-1])
+    found = pk.configurations(lengths, supply, 300)
+    assert (sum(p * n for p, n in found) == supply).all() and all((p * lengths).sum() <= 300 for p, _ in found)
+    packs = sum(n for _, n in found)
+    by_fit = next(f for f in fits if all((x == y).all() and n == k for (x, n), (y, k) in zip(reversed(f), reversed(found), strict=False)))
+    assert packs - sum(n for _, n in by_fit) > pk.ROUNDS
+
+
 def test_pricing_finds_the_best():
     pattern = pk.price(np.array([3, 5, 7]), np.array([3.0, 5.5, 7.2]), np.array([9, 9, 9]), 15)
     assert pattern.tolist() == [0, 3, 0]
