@@ -249,7 +249,10 @@ def nearest(rows: DataFrame, row_id: str, vector: str, queries: DataFrame, *, di
                 unit = _unit(_matrix(batch.column(1), dim)).astype(np.float64)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.FixedSizeListArray.from_arrays(pa.array(unit.ravel()), dim).cast(pa.list_(pa.float64()))], names=["id", "v"])
 
-    every = usable(rows).mapInArrow(normal, "id long, v array<double>")
+    one = usable(rows)
+    if not one.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).isEmpty():
+        one = materialize(one.dropDuplicates(["id"]), "rows")  # copies would fill the heaps; without any, no vector moves
+    every = one.mapInArrow(normal, "id long, v array<double>")
     asked = usable(queries).mapInArrow(normal, "id long, v array<double>").dropDuplicates(["id"])
     found = None
     held: list = []

@@ -65,6 +65,14 @@ def test_nearest_is_exact(spark):
     assert got == best(v, 5, queries=range(0, len(v), 10))
 
 
+def test_nearest_with_repeated_ids(spark):
+    v = clustered(40)
+    ids = [i for i in range(len(v)) for _ in range(9)]
+    df = frame(spark, v[ids], ids).coalesce(1)
+    got = shown(knn.nearest(df, "id", "v", df.where("id % 10 = 0"), dim=64, k=5))
+    assert got == best(v, 5, queries=range(0, len(v), 10))
+
+
 @pytest.mark.parametrize("call", [lambda df: knn.neighbours_above(df, "id", "v", dim=4), lambda df: knn.nearest(df, "id", "v", df, dim=4)])
 def test_unusable_vectors(spark, call):
     rows = [None, [0, 0, 0, 0], [1, 2], [float("nan"), 1, 1, 1], [1, 0, 0, 0], [3e38, 0, 0, 0], []]
