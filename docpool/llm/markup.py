@@ -199,7 +199,7 @@ def features(text: str, found: list[Mark], code: list[tuple[int, int, bool]]) ->
     depth: dict[int, int] = {}
     for i, m in enumerate(found):
         t = text[m.start : m.end]
-        inner = t.strip("*_$~='[]{}") if len(t) < 2000 else t[:2000]
+        inner = t.strip("*_$~='[]{}")
         k = bisect.bisect_right(starts, m.start) - 1
         inside = k >= 0 and m.start < code[k][1]
         over = k + 1 < len(code) and code[k + 1][0] < m.end

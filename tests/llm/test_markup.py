@@ -140,3 +140,10 @@ def test_code_hides_no_mark_after_it(spark):
     got = {r.row_id: (r.families, r.clean) for r in mu.markup_residue(frame(spark, [(t, None) for t in texts + corpus()]), "id", ["text"]).collect()}
     for i, (t, family, wanted) in enumerate(SWALLOWED):
         assert got[i] == ([family], wanted), t
+
+
+def test_features_of_long_marks():
+    for c in ("\\\\", "^", "_"):
+        long, short = (f"$$ {'a ' * n}{c} b $$" for n in (2000, 20))
+        x, y = (mu.features(t, [m for m in mu.marks(t) if m.kind == "display"], []) for t in (long, short))
+        assert x[0, 10] == y[0, 10] > 0
