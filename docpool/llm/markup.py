@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import bisect
+import functools
 import html
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -38,28 +40,34 @@ STRICT = {
 #: A formula within a line, as STRICT has it.
 _DOLLARS = r"(?<![\w$])\$(?!\s)[^$\n]*[\\^_][^$\n]*(?<!\s)\$(?![\w$])"
 
+
+def _paired(exact: str, opens: str, closes: str) -> re.Pattern:
+    """Well-formed marks, and look-alikes: what opens such a mark, with what closes it if that comes before the next well-formed one."""
+    return re.compile(rf"{exact}|{opens}(?:(?:(?!{exact})[^\n])*?(?!{exact}){closes})?")
+
+
 #: Kinds of candidate marks: family, what a text must hold, and a pattern that lets look-alikes through.
 KINDS: dict[str, tuple[str, str, re.Pattern]] = {
     "tag": ("html", "<", re.compile(r"</?\s*([A-Za-z][A-Za-z0-9]*)(?:[\s/,][^<>]*)?>")),
     "comment": ("html", "<!--", re.compile(r"<!--(?:(?!-->)[\s\S])*(?:-->)?")),
     "entity": ("html", "&", re.compile(r"&#?\w+;?")),
-    "link": ("wiki", "[[", re.compile(r"\[\[[^\n]*?(?:\]\]|$)", re.M)),
-    "template": ("wiki", "{{", re.compile(r"\{\{[^\n]*?(?:\}\}|$)", re.M)),
-    "quotes": ("wiki", "''", re.compile(r"''[^\n]*?(?:''+|$)", re.M)),
+    "link": ("wiki", "[[", _paired(r"\[\[[^\n]+?\]\]", r"\[\[", r"\]\]")),
+    "template": ("wiki", "{{", _paired(r"\{\{[^\n]+?\}\}", r"\{\{", r"\}\}")),
+    "quotes": ("wiki", "''", _paired(r"''[^\n]+?''+", "''", "''+")),
     "title": ("wiki", "==", re.compile(r"^=+[^\n]*=+[ \t]*$", re.M)),
     "wikitable": ("wiki", "{|", re.compile(r"\{\|")),
     "command": ("latex", "\\", re.compile(r"\\(?:[A-Za-z]+\*?\{?|[(\[])")),
     "display": ("latex", "$$", re.compile(r"\$\$(?:[^$]|\$(?!\$))*\$\$")),
-    "dollar": ("latex", "$", re.compile(rf"{_DOLLARS}|\$(?:[^$\n]*(?!{_DOLLARS})\$)?")),
-    "strong": ("markdown", "**", re.compile(r"\*\*[^\n]+?\*\*")),
-    "under": ("markdown", "__", re.compile(r"__[^\n]+?__")),
-    "star": ("markdown", "*", re.compile(r"(?<!\*)\*(?!\*)[^*\n]*(?:(?=\*)\*)?")),
-    "strike": ("markdown", "~~", re.compile(r"~~[^\n]*?(?:~~|$)", re.M)),
-    "mdlink": ("markdown", "](", re.compile(r"\[[^\n]+?\]\([^\n]*?\)")),
+    "dollar": ("latex", "$", _paired(_DOLLARS, r"\$", r"\$")),
+    "strong": ("markdown", "**", _paired(r"(?<!\w)\*\*[^\n]+?\*\*(?!\w)", r"\*\*", r"\*\*")),
+    "under": ("markdown", "__", _paired(r"(?<!\w)__[^\n]+?__(?!\w)", "__", "__")),
+    "star": ("markdown", "*", _paired(r"(?<![\w*])\*(?![\s*])[^*\n]*(?<!\s)\*(?![\w*])", r"(?<!\*)\*(?!\*)", r"\*")),
+    "strike": ("markdown", "~~", _paired(r"~~[^\n]+?~~", "~~", "~~")),
+    "mdlink": ("markdown", "](", re.compile(r"\[[^\n]+?\]\((?:[^\n]+?\)|\))")),
     "row": ("markdown", "|", re.compile(r"^[^\n|]{0,3}\|[^\n]*", re.M)),
     "quote": ("markdown", ">", re.compile(r"^>[^\n]?", re.M)),
 }
-KIND_NAMES = list(KINDS)
+_NUMBER = {kind: i for i, kind in enumerate(KINDS)}
 _TAG_SET = frozenset(TAGS)
 _VOID = frozenset(("br", "hr", "img"))
 _CODE = frozenset(("pre", "code", "kbd"))
@@ -74,8 +82,9 @@ _FORMULA = re.compile(
 class Mark:
     """A candidate mark: its span, its kind, the tag or command it names, and its place in the tree of marks.
 
-    `close` is where the element or formula that it opens ends, else its own end; `literal` says what around it
-    keeps it as it is: an "element" of code, a "formula" or a "comment"; or that it is "crossing" the end of one.
+    `close` is where the element or formula that it opens ends, else its own end; `residue` says that it is a mark, not
+    a look-alike; `keeps` that its descendants stay as they are; `literal` what around it keeps it so: an "element" of
+    code, a "formula" or a "comment"; or that it is "crossing" the end of one.
     """
 
     kind: str
@@ -91,14 +100,15 @@ class Mark:
     close: int = 0
     formula: bool = False
     literal: str = ""
+    keeps: bool = False
 
-    def holds(self) -> str:
-        """What the mark's descendants are kept by, if it is residue."""
-        if self.residue and self.formula:
+    def holder(self) -> str:
+        """What the mark's descendants would be kept by, if it is what it looks like."""
+        if self.formula:
             return "formula"
         if self.kind == "comment":
             return "comment"
-        return "element" if self.residue and self.kind == "tag" and self.name in _CODE and self.close > self.end else ""
+        return "element" if self.kind == "tag" and self.name in _CODE and self.close > self.end else ""
 
 
 def unix_lines(text: str) -> str:
@@ -183,51 +193,97 @@ def marks(text: str) -> list[Mark]:
     return found
 
 
+@functools.cache
 def _class(c: str) -> int:
-    return 0 if not c else 1 if c == "\n" else 2 if c.isspace() else 3 if c.isalnum() else 4 if c in "_*$=`" else 5 if c in "<>[]{}()|\\" else 6
+    return 0 if not c else 1 if c == "\n" else 2 if c == " " else 3 if c.isalnum() else 4 if c in "_*$=`" else 5 if c in "<>[]{}()|\\" else 7 if c.isspace() else 6
+
+
+#: Features of a mark, in the order of their columns; those of TREE depend on the tree, not on the mark's own text.
+FEATURES = (
+    "kind", "code", "before", "after", "first", "last", "edge", "tail", "name", "special", "length", "share", "ends", "shape",
+    "attributes", "quoted", "bare", "token",
+    "depth", "parent", "partner", "children", "descendants", "tag_density", "text_density", "siblings", "same_siblings", "place", "count",
+)
+TREE = FEATURES[FEATURES.index("depth") :]
+_ATTRIBUTE = re.compile(r"""([^\s=<>"'/]+)(\s*=\s*("[^"]*"|'[^']*'|[^\s"'<>]+))?""")
+
+
+def _tokens(m: Mark, t: str) -> tuple[int, int, int, int]:
+    """What a mark carries beside its content: numbers of its attributes, of quoted ones and of bare words, and its first token's form."""
+    if m.kind == "tag":
+        body = t[t.lower().index(m.name) + len(m.name) : -1]
+        found = _ATTRIBUTE.findall(body)
+        return len(found), sum(x[2][:1] in ("'", '"') and x[2] != "" for x in found), sum(not x[1] for x in found), _class(body[:1]) + 8 * ("," in body) + 16 * ("/" in body.rstrip("/"))
+    if m.kind == "entity":
+        name = t.strip("&;#")
+        return min(31, len(name)), name.isdigit(), name.isascii() and name.isalpha(), (t[1:2] == "#") + 2 * (t[2:3] in ("x", "X")) + 4 * all(c in "0123456789abcdefABCDEF" for c in t[3:-1]) + 8 * t.isascii()
+    if m.kind == "command":
+        return len(t), t.endswith("{"), "*" in t, _class(t[1:2])
+    return t.count("|"), t.count("="), t.count(" "), _class(t[2:3])
 
 
 def features(text: str, found: list[Mark], code: list[tuple[int, int, bool]]) -> np.ndarray:
-    """Bins of the features of a masked text's marks: attribute tokens, context, density, depth, and statistics of siblings."""
-    out = np.zeros((len(found), 18), np.uint8)
+    """Bins of the features of a masked text's marks: their tokens and context, density and size of their subtrees, depth, and siblings."""
+    out = np.zeros((len(found), len(FEATURES)), np.int64)
     if not found:
-        return out
+        return out.astype(np.uint8)
     counts: dict[str, int] = {}
+    by_name: dict[tuple[int, str], int] = {}
     for m in found:
         counts[m.kind] = counts.get(m.kind, 0) + 1
+        key = (id(m.parent), m.kind + m.name)
+        by_name[key] = by_name.get(key, 0) + 1
+    size: dict[int, list[int]] = {id(m): [0, 0] for m in found if m.children}  # marks below, and their characters
+    for m in reversed(found):
+        if m.parent:
+            below, chars = size.get(id(m), (0, 0))
+            above = size[id(m.parent)]
+            above[0] += 1 + below
+            above[1] += (m.end - m.start if m.kind == "tag" else 0) + chars
     starts = [c[0] for c in code]
     depth: dict[int, int] = {}
+    place: dict[int, int] = {}
+    roots = sum(m.parent is None for m in found)
     for i, m in enumerate(found):
         t = text[m.start : m.end]
         inner = t.strip("*_$~='[]{}")
         k = bisect.bisect_right(starts, m.start) - 1
         inside = k >= 0 and m.start < code[k][1]
         over = k + 1 < len(code) and code[k + 1][0] < m.end
-        d = depth[id(m)] = 0 if m.parent is None else min(31, depth[id(m.parent)] + 1)
-        siblings = m.parent.children if m.parent else found
-        before, after = text[m.start - 1 : m.start], text[m.end : m.end + 1]
-        edge = len(t) - len(t.lstrip(t[:1]))
+        d = depth[id(m)] = 0 if m.parent is None else depth[id(m.parent)] + 1
+        n = place[id(m.parent)] = place.get(id(m.parent), 0) + 1
+        edge, tail = len(t) - len(t.lstrip(t[:1])), len(t) - len(t.rstrip(t[-1:]))
+        span, (below, chars) = max(1, m.close - m.start), size.get(id(m), (0, 0))
+        bare = t.rstrip(" \t")
         out[i] = (
-            KIND_NAMES.index(m.kind),
+            _NUMBER[m.kind],
             1 + code[k][2] if inside else 3 * over,
-            d,
-            _class(before),
-            _class(after),
+            _class(text[m.start - 1 : m.start]),
+            _class(text[m.end : m.end + 1]),
             _class(t[edge : edge + 1]),
-            _class(t[len(t.rstrip(t[-1:])) - 1 : len(t.rstrip(t[-1:]))]),
-            min(31, edge),
-            min(31, len(t) - len(t.rstrip(t[-1:]))),
+            _class(t[len(t) - tail - 1 : len(t) - tail]) if tail < len(t) else 0,
+            edge,
+            tail,
             (1 + (m.name in _TAG_SET)) if m.kind == "tag" else (2 if t[-1] == "{" else 1) if m.kind == "command" else 0,
             ("\\" in inner) + 2 * ("^" in inner) + 4 * ("_" in inner),
-            min(31, len(inner).bit_length()),
-            min(31, int(31 * len(inner) / max(1, len(t)))),
-            min(31, counts[m.kind]),
-            min(31, len(siblings)),
-            min(31, len(m.children)),
-            (m.partner is not None) + 2 * t.endswith(">") + 4 * t.endswith(";") + 8 * t.endswith(")") + 16 * t.endswith("|"),
-            (t[:1] == t[-1:]) + 2 * ("\n" in t) + 4 * (t.startswith("&#")) + 8 * (len(t) > 2),
+            len(inner).bit_length(),
+            31 * len(inner) // max(1, len(t)),
+            bare.endswith(">") + 2 * bare.endswith(";") + 4 * bare.endswith(")") + 8 * bare.endswith("|") + 16 * t.endswith("$"),
+            (t[:1] == t[-1:]) + 2 * ("\n" in t) + 4 * t.startswith("</") + 8 * (len(t) > 2) + 16 * (inner == ""),
+            *_tokens(m, t),
+            d,
+            1 + _NUMBER[m.parent.kind] if m.parent else 0,
+            (m.partner is not None) + 2 * (m.close > m.end) + 4 * m.formula,
+            len(m.children),
+            below.bit_length(),
+            31 * chars // span,
+            31 * (span - chars - len(t)) // span,
+            len(m.parent.children) if m.parent else roots,
+            by_name[id(m.parent), m.kind + m.name],
+            n,
+            counts[m.kind],
         )
-    return np.minimum(out, gbt.BINS - 1)
+    return np.clip(out, 0, gbt.BINS - 1).astype(np.uint8)
 
 
 def labels(text: str, found: list[Mark]) -> np.ndarray:
@@ -243,26 +299,61 @@ def labels(text: str, found: list[Mark]) -> np.ndarray:
     return np.array([overlaps(m) for m in found], np.int64)
 
 
-def decode(found: list[Mark], scores: np.ndarray, code: list[tuple[int, int, bool]], threshold: float) -> None:
-    """Sets `residue` and, from the root down, `literal`: nothing within code is residue, both tags of an element agree, and
-    descendants of a formula, a comment or an element of code are literal, as is a mark that begins or ends within one.
+def _joint(found: list[Mark]) -> None:
+    """Sets `keeps` by the most likely choice for each tree as a whole, from the root down.
+
+    A mark that would keep its descendants as they are (a formula, a comment, an element of code) does so if this and what
+    follows for the descendants is likelier than that it is a look-alike and they are free. Within a formula, marks of
+    LaTeX speak for it and those of other families against it; comments and code may hold anything.
+    """
+    if not any(m.holder() for m in found):
+        return
+    p = {id(m): min(max(m.score, 1e-3), 1 - 1e-3) for m in found}
+    free, held, math_ = ({id(m): 0.0 for m in found} for _ in range(3))  # first the sums over children, then with the mark
+    better: dict[int, bool] = {}
+    for m in reversed(found):
+        k = id(m)
+        yes, no = math.log(p[k]), math.log(1 - p[k])
+        closing = m.partner is not None and m.partner.start < m.start  # its opening tag decides for both
+        below = math_[k] if m.formula else held[k]
+        better[k] = not closing and m.holder() != "" and yes + below >= no + free[k]
+        whole = yes + below if m.holder() else yes + free[k]
+        free[k], held[k], math_[k] = (0.0, 0.0, 0.0) if closing else (max(whole, no + free[k]), max(yes, no) + held[k], (yes if KINDS[m.kind][0] == "latex" else no) + math_[k])
+        if m.parent:
+            for sums in (free, held, math_):
+                sums[id(m.parent)] += sums[k]
+    for m in found:
+        m.keeps = better[id(m)] and m.residue and not (m.parent and (m.parent.literal or m.parent.keeps))
+        m.literal = (m.parent.literal or (m.parent.holder() if m.parent.keeps else "")) if m.parent else ""
+
+
+def decode(found: list[Mark], scores: np.ndarray, clear: str, code: list[tuple[int, int, bool]], threshold: float) -> None:
+    """Sets `residue`, and from the root down `keeps` and `literal`: nothing within code is residue, both tags of an element
+    agree, what the trees take for a mark is checked against its family's exact pattern, and descendants of a formula, a
+    comment or an element of code are literal, as is a mark that begins or ends within one.
     """
     starts = [c[0] for c in code]
     for m, s in zip(found, scores, strict=True):
         m.score = float(s)
-    kept: list[tuple[int, int]] = []  # the contents of what is literal, in order
     for m in found:
         k = bisect.bisect_right(starts, m.start) - 1
-        verbatim = k >= 0 and m.start < code[k][1]
-        score = max(m.score, m.partner.score) if m.partner else m.score
-        m.verbatim, m.residue = verbatim, not verbatim and score >= threshold
+        m.verbatim = k >= 0 and m.start < code[k][1]
+        if m.partner and m.partner.start < m.start:
+            m.score = m.partner.score = max(m.score, m.partner.score)
+    taken = [m for m in found if not m.verbatim and m.score >= threshold]
+    for m, right in zip(taken, labels(clear, taken), strict=True):
+        m.residue = bool(right)
+    _joint(found)
+    kept: list[tuple[int, int]] = []  # the contents of what is literal, in order
+    for m in found:
         above = m.parent
-        while above and above.literal == "crossing":
-            above = above.parent
-        m.literal = (above.literal or above.holds()) if above else ""
+        if above and above.literal == "crossing":
+            while above and above.literal == "crossing":
+                above = above.parent
+            m.literal = (above.literal or (above.holder() if above.keeps else "")) if above else ""
         if not m.literal and kept and m.start < kept[-1][1]:
-            m.literal = "crossing"
-        if not m.literal and m.holds():
+            m.literal, m.keeps = "crossing", False
+        if m.keeps:
             kept.append((m.end, m.partner.start) if m.partner else (m.start, m.close))
     begins = [a for a, _ in kept]
     for m in found:
@@ -278,24 +369,24 @@ def parsed(text: str) -> tuple[str, list[tuple[int, int, bool]], list[Mark]]:
     return clear, code, marks(clear)
 
 
-def train(texts: list[str], *, trees: int = 40, depth: int = 5) -> tuple[gbt.Trees, float]:
-    """Boosted trees fitted to marks that STRICT labels, and the threshold: low enough for 999 of 1,000 marks of the sample."""
+def train(texts: list[str], *, trees: int = 60, depth: int = 5) -> tuple[gbt.Trees, float]:
+    """Boosted trees fitted to marks that STRICT labels, and the threshold: low enough for 9,999 of 10,000 marks of the sample."""
     xs, ys = [], []
     for raw in texts:
         clear, code, found = parsed(unix_lines(raw))
         if found:
             xs.append(features(clear, found, code))
             ys.append(labels(clear, found))
-    x = np.concatenate(xs) if xs else np.zeros((0, 18), np.uint8)
+    x = np.concatenate(xs) if xs else np.zeros((0, len(FEATURES)), np.uint8)
     y = np.concatenate(ys) if ys else np.zeros(0, np.int64)
     model = gbt.fit(x, y, trees=trees, depth=depth)
     positive = np.sort(model.scores(x)[y == 1])
-    return model, float(min(0.5, 0.5 * positive[len(positive) // 1000])) if len(positive) else 0.5
+    return model, float(min(0.1, 0.5 * positive[len(positive) // 10000])) if len(positive) else 0.5
 
 
 def analysed(text: str, model: gbt.Trees, threshold: float) -> tuple[list[Mark], list[tuple[int, int, bool]]]:
     clear, code, found = parsed(text)
-    decode(found, model.scores(features(clear, found, code)) if found else np.zeros(0), code, threshold)
+    decode(found, model.scores(features(clear, found, code)) if found else np.zeros(0), clear, code, threshold)
     return found, code
 
 
@@ -388,15 +479,16 @@ def clean(text: str, found: list[Mark]) -> str:
     return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+$", "", "".join([*out, text[at:]]), flags=re.M)).strip("\n")
 
 
-def markup_residue(rows: DataFrame, row_id: str, fields: list[str], *, sample_rows: int = 2000, cleaned: bool = True) -> DataFrame:
+def markup_residue(rows: DataFrame, row_id: str, fields: list[str], *, sample_rows: int = 8000, cleaned: bool = True) -> DataFrame:
     """(row_id, field, families, clean): each field's families of markup residue, and its text without them.
 
-    Marks of HTML, wiki, LaTeX and Markdown markup, and look-alikes, form a tree; boosted trees over features of
-    its nodes tell residue from text, and are decoded from the root down, so that nothing within code is
-    residue, both tags of an element agree, and `clean` leaves what is within a formula, a comment, or an HTML element
-    of code (but for character references) as it is; such marks count for the families all the same. A family is reported if a mark of it was found to be residue
-    and the family's exact pattern (STRICT) confirms it outside code. Headings, list items, code blocks and
-    formulas are kept in `clean`, in Markdown's form.
+    Marks of HTML, wiki, LaTeX and Markdown markup, and look-alikes, form a tree of elements; boosted trees over
+    features of its nodes (FEATURES: attribute tokens, context, density of tags and text in the subtree, depth, siblings)
+    tell marks from look-alikes, and the tree is decoded from the root down, so that nothing within code is residue, both
+    tags of an element agree, and `clean` leaves what is within a formula, a comment, or an HTML element of code (but for
+    character references) as it is; such marks count for the families all the same. A family is reported if the decoded
+    tree has a mark of it; each mark that the trees find is checked against its family's exact pattern (STRICT).
+    Headings, list items, code blocks and formulas are kept in `clean`, in Markdown's form.
 
     The trees are fitted to the marks of at most sample_rows rows (those with the smallest hash of the id), labelled
     by STRICT; every row is analysed. A null field gives no row; an empty one has no families and stays
@@ -421,11 +513,11 @@ def markup_residue(rows: DataFrame, row_id: str, fields: list[str], *, sample_ro
                     scores = model.scores(np.concatenate(x)) if x else np.zeros(0)
                     at = 0
                     for i, text, clear, code, found, _ in held:
-                        decode(found, scores[at : at + len(found)], code, threshold)
+                        decode(found, scores[at : at + len(found)], clear, code, threshold)
                         at += len(found)
                         said = {KINDS[m.kind][0] for m in found if m.residue}
                         ids.append(i)
-                        families.append([f for f in FAMILIES if f in said and STRICT[f].search(clear)])
+                        families.append([f for f in FAMILIES if f in said])
                         texts.append(clean(text, found) if cleaned else None)
                     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([name] * len(ids), pa.string()), pa.array(families, pa.list_(pa.string())), pa.array(texts, pa.string())], names=["row_id", "field", "families", "clean"])
 

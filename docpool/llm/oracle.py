@@ -17,7 +17,26 @@ def _reduced(column: str) -> str:
     return f"regexp_replace({_plain(column)}, '[^\\p{{L}}\\p{{N}}]', '', 'g')"
 
 
+#: Residue by family, of text whose code is masked; what must not stand beside a mark is matched with it, as there is no look-around.
+_WORD = r"\p{L}\p{N}_"
+_FAMILIES = {
+    "html": r"(?i)</?(?:a|abbr|b|blockquote|br|code|dd|div|dl|dt|em|h[1-6]|hr|i|img|kbd|li|ol|p|pre|s|small|span|strong|sub|sup|table|tbody|td|th|thead|tr|u|ul)(?:\s[^<>]*)?/?>|<!--|&(?:[a-z]{2,8}|#[0-9]+|#x[0-9a-f]+);",
+    "wiki": r"(?m)\[\[[^\n]+?\]\]|\{\{[^\n]+?\}\}|''[^\n]+?''|^={2,6}[^=\n](?:[^\n]*[^=\n])?={2,6}[ \t]*$|^\{\|",
+    "latex": rf"(?m)\\[A-Za-z]+\*?\{{|\\[(\[]|\$\$(?:[^$]|\$[^$])+\$\$|(?:^|[^{_WORD}$])\$(?:[\\^_]|[\\^_][^$\n]*[^\s$]|[^\s$][^$\n]*[\\^_](?:[^$\n]*[^\s$])?)\$(?:$|[^{_WORD}$])",
+    "markdown": rf"(?m)(?:^|[^{_WORD}])(?:\*\*[^\n]+?\*\*|__[^\n]+?__)(?:$|[^{_WORD}])|(?:^|[^{_WORD}*])\*(?:[^\s*]|[^\s*][^*\n]*[^\s*])\*(?:$|[^{_WORD}*])|~~[^\n]+?~~|\[[^\n]+?\]\([^\n]+?\)|^\|[^\n]*\|[ \t]*$|^> ",
+}
+_FENCED = r"(?m)^(?:```[^\n]*(?:\n[^\n]*)*?(?:\n```[^\n]*|\z)|~~~[^\n]*(?:\n[^\n]*)*?(?:\n~~~[^\n]*|\z))"
+_FIELDS = "select id as chunk_id, 'text' as field, text as t from chunks where text is not null union all select id, 'embed_text', embed_text from chunks where embed_text is not null"
+_BARE = rf"regexp_replace(regexp_replace(regexp_replace(t, '\r\n?', chr(10), 'g'), '{_FENCED}', chr(1), 'g'), '``[^\n]+?``|`[^`\n]+`', chr(1), 'g')"
+
+
+def _residue() -> str:
+    parts = [f"select chunk_id, field, '{f}' as family from m where regexp_matches(t, '{p.replace(chr(39), chr(39) * 2)}')" for f, p in _FAMILIES.items()]
+    return f"with f as ({_FIELDS}), m as (select chunk_id, field, {_BARE} as t from f) " + " union all ".join(parts)
+
+
 ORACLE = {
+    "p3_found": _residue(),
     "p1_found": f"""
 with rows as (select 'chunk' as kind, id as row_id, text from chunks union all select 'hit', hit_id, text from search_results where text is not null),
 used as (select kind, row_id, unnest(regexp_extract_all({_plain("text")}, '[A-Za-z]+-[0-9]+|[A-Za-z0-9_]+|[^\\x00-\\x7F]+')) as term from rows),
