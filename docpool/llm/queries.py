@@ -11,7 +11,7 @@ from docpool.llm.markup import markup_residue
 from docpool.llm.neardup import expanded, near_duplicates
 from docpool.llm.packing import pack_documents
 from docpool.llm.rankfuse import median_ranking
-from docpool.llm.repeats import LIMITS, MIN_CHARS, repetition
+from docpool.llm.repeats import repeated_documents, repetition
 from docpool.llm.split import split_oversized
 from docpool.llm.terms import distinctive_terms
 from docpool.sources.tables import table
@@ -141,18 +141,14 @@ def p9_passages(spark: SparkSession, folder: str) -> DataFrame:
     return _leaks(spark, folder).select("doc_id", "item_id", "run", "doc_start", "doc_end", F.round("item_share", 6).alias("item_share"))
 
 
-def _repeats(spark: SparkSession, folder: str) -> DataFrame:
-    return repetition(table(spark, folder, "documents"), "doc_id", "text")
-
-
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id): documents of 100 reduced characters or more, 0.3 of whose windows repeat an earlier one."""
-    return _repeats(spark, folder).where((F.col("chars") >= MIN_CHARS) & (F.col("windows") >= LIMITS["windows"])).select("doc_id").distinct()
+    return repeated_documents(table(spark, folder, "documents"), "doc_id", "text").select("doc_id").distinct()
 
 
 def p10_shares(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's share of windows that repeat an earlier one."""
-    return _repeats(spark, folder).select("doc_id", "chars", F.round("windows", 9).alias("windows"))
+    return repetition(table(spark, folder, "documents"), "doc_id", "text", always=("windows",)).select("doc_id", "chars", F.round("windows", 9).alias("windows"))
 
 
 QUERIES = {

@@ -1,9 +1,11 @@
-"""Repetition inside a single document, measured by a short-circuit cascade of rules."""
+"""Repetition inside a single document, measured by short-circuit cascades of rules."""
 
 from __future__ import annotations
 
-import time
-from collections.abc import Iterator
+import math
+from collections import Counter
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -16,38 +18,147 @@ WINDOW = 20
 MIN_CHARS = 100
 #: Shares from which a document counts as mostly repetition, by rule.
 LIMITS = {"windows": 0.3, "lines": 0.3, "paragraphs": 0.3, "top_word": 0.4}
+#: Characters of the short substrings whose number bounds that of the windows.
+GRAM = 6
+#: Bytes of text that are measured at once.
+_SLICE = 1_000_000
+
+_U = np.uint64
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def window_share(text: str, size: int = WINDOW) -> tuple[int, float]:
-    """Characters of the reduced text, and the share of its windows of `size` characters that equal an earlier one."""
-    small = reduced(text)
-    n = len(small) - size + 1
-    if n <= 0:
-        return len(small), 0.0
-    w = _mix(np.frombuffer(small.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
+    return x ^ (x >> _U(31))
+
+
+def steps(size: int) -> int:
+    """Passes over the characters that hashing their substrings of `size` takes."""
+    return size.bit_length() - 1 + size.bit_count()
+
+
+def hashed(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all substrings of `size` characters of each text, one after the other, and the texts' numbers of them."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(_U)
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    counts = np.maximum(lengths - size + 1, 0)
+    if not counts.sum():
+        return np.zeros(0, _U), counts
+    w = _mix(codes + _U(0x9E3779B97F4A7C15))
     base, done, whole, at = 0xD6E8FEB86659FD93, 1, None, 0
     bit, power, left = w, base, size
-    while left:  # windows of 1, 2, 4.. characters, joined as the bits of `size` say
+    while left:  # substrings of 1, 2, 4.. characters, joined as the bits of `size` say
         if left & 1:
             if whole is None:
                 whole, at = bit, done
             else:
-                m = len(small) - at - done + 1
-                whole, at = whole[:m] * np.uint64(power) + bit[at : at + m], at + done
+                m = len(w) - at - done + 1
+                whole, at = whole[:m] * _U(power) + bit[at : at + m], at + done
         left >>= 1
         if left:
             m = len(bit) - done
-            bit = bit[:m] * np.uint64(power) + bit[done : done + m]
+            bit = bit[:m] * _U(power) + bit[done : done + m]
             done *= 2
             power = power * power % 2**64
-    h = np.sort(_mix(whole[:n]))
-    return len(small), float((h[1:] == h[:-1]).sum()) / n
+    starts = np.cumsum(lengths) - lengths
+    place = np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+    return _mix(whole[place]), counts
+
+
+def least_distinct(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each text a lower bound of its number of distinct hashes: the bits they set in a map of four bits or more for each."""
+    size = np.int64(1) << np.ceil(np.log2(4 * np.maximum(counts, 1))).astype(np.int64)
+    base = np.cumsum(size) - size
+    bits = np.zeros(int(size.sum()), np.uint8)
+    bits[np.repeat(base, counts) + (hashes & np.repeat(size - 1, counts).astype(_U)).astype(np.int64)] = 1
+    return np.add.reduceat(bits, base, dtype=np.int64) if len(base) else np.zeros(0, np.int64)
+
+
+def window_shares(texts: list[str], size: int = WINDOW) -> np.ndarray:
+    """Of each reduced text the share of its windows of `size` characters that equal an earlier one."""
+    hashes, counts = hashed(texts, size)
+    out, end = np.zeros(len(texts)), np.cumsum(counts)
+    for i, n in enumerate(counts):
+        if n:
+            h = np.sort(hashes[end[i] - n : end[i]])
+            out[i] = float((h[1:] == h[:-1]).sum()) / n
+    return out
+
+
+def _most(size: int) -> Callable[[list[str]], np.ndarray]:
+    """An upper bound of the share of repeated windows, from the distinct substrings of `size` characters at their starts."""
+
+    def bound(texts: list[str]) -> np.ndarray:
+        windows = np.maximum(np.fromiter(map(len, texts), np.int64, len(texts)) - WINDOW + 1, 0)
+        hashes, counts = hashed([t[: n + size - 1] if n else "" for t, n in zip(texts, windows, strict=True)], size)
+        return np.where(windows > 0, 1 - least_distinct(hashes, counts) / np.maximum(windows, 1), 0.0)
+
+    return bound
+
+
+@dataclass(frozen=True)
+class Rule:
+    """measure gives a value for each of some texts; cost is the number of steps for a text of n characters."""
+
+    measure: Callable[[list[str]], np.ndarray]
+    cost: Callable[[int], float]
+
+
+#: Tests of a reduced text, each of which clears it if the value is below the limit: upper bounds of its share, and the share.
+CLEARING = {
+    "length": Rule(lambda ts: np.array([float(len(t) >= MIN_CHARS) for t in ts]), lambda n: 1),
+    "grams": Rule(_most(GRAM), lambda n: n * (steps(GRAM) + 4)),
+    "marks": Rule(_most(WINDOW), lambda n: n * (steps(WINDOW) + 4)),
+    "windows": Rule(window_shares, lambda n: n * (steps(WINDOW) + 2 + 2 * math.log2(n + 1))),
+}
+
+
+def ordered(rules: dict[str, Rule], texts: list[str], rejects: Callable[[str, np.ndarray], np.ndarray]) -> list[str]:
+    """The rules by texts of a sample rejected per step, best first, each measured on what those before it let pass."""
+    left, out, rest = list(texts), [], dict(rules)
+    while rest and left:
+        rate, kept = {}, {}
+        for name, rule in rest.items():
+            out_of = rejects(name, rule.measure(left))
+            kept[name] = [t for t, gone in zip(left, out_of, strict=True) if not gone]
+            rate[name] = (len(left) - len(kept[name]) + 0.01) / sum(rule.cost(len(t)) for t in left)
+        best = max(rest, key=lambda name: rate[name])
+        out.append(best)
+        left = kept[best]
+        del rest[best]
+    return out + list(rest)
+
+
+def repeated_documents(docs: DataFrame, doc_id: str, text: str, *, limit: float = LIMITS["windows"], sample_rows: int = 400) -> DataFrame:
+    """(doc_id, chars, share): documents of MIN_CHARS reduced characters or more whose share of repeated windows is `limit` or more.
+
+    A cascade of tests (CLEARING), each of which clears documents for good: too short, or an upper bound of the share is
+    below the limit (windows that start with different substrings differ, and a map of bits counts these without
+    sorting), or at last the share itself is. The order comes from a sample of at most sample_rows texts (those
+    with the smallest hash of the id): texts cleared per step of each test, greatest first. A document goes through the
+    tests until one clears it, so the order changes the work, never the rows. If the exact test is not last, those after
+    it are left out.
+
+    Reduced texts are NFKC, in lower case, letters and digits only. Null and empty texts are no rows; repeated ids are
+    rows of their own. Other columns are not read. Documents are measured where they lie, without a shuffle.
+    """
+    read = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    sample = [reduced(r.text) for r in sampled(read, "doc_id", sample_rows) if r.text]
+    order = ordered(CLEARING, sample, lambda name, values: values < (1 if name == "length" else limit))
+    order = [*(n for n in order[: order.index("windows")]), *(["length"] if "length" not in order[: order.index("windows")] else []), "windows"]
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1, _SLICE):
+            ids = batch.column(0).to_pylist()
+            left = [(i, reduced(t)) for i, t in zip(ids, batch.column(1).to_pylist(), strict=True) if t]
+            values = np.zeros(0)
+            for name in order:
+                values = CLEARING[name].measure([t for _, t in left])
+                stay = values >= (1 if name == "length" else limit)
+                left, values = [x for x, s in zip(left, stay, strict=True) if s], values[stay]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in left], pa.int64()), pa.array([len(t) for _, t in left], pa.int64()), pa.array(values, pa.float64())], names=["doc_id", "chars", "share"])
+
+    return read.mapInArrow(measure, "doc_id long, chars long, share double")
 
 
 def _repeated(parts: list[str]) -> float:
@@ -70,64 +181,61 @@ def top_word_share(text: str) -> float:
     words = text.lower().split()
     if len(words) < 8:
         return 0.0
-    kinds, counts = np.unique(np.array(words, dtype=object), return_counts=True)
-    lengths = np.array([len(w) for w in kinds])
-    return float((lengths * counts).max() / max(1, (lengths * counts).sum()))
+    return max(len(w) * n for w, n in Counter(words).items()) / max(1, sum(map(len, words)))
+
+
+def _windows(texts: list[str]) -> np.ndarray:
+    small = [reduced(t) for t in texts]
+    return window_shares([t if len(t) >= MIN_CHARS else "" for t in small])
 
 
+def _each(share: Callable[[str], float]) -> Callable[[list[str]], np.ndarray]:
+    return lambda texts: np.array([share(t) for t in texts], np.float64)
+
+
+#: Shares of a whole text, each of which rejects it as mostly repetition from its limit on.
 RULES = {
-    "windows": lambda t: (lambda n, s: s if n >= MIN_CHARS else 0.0)(*window_share(t)),
-    "lines": lines_share,
-    "paragraphs": paragraphs_share,
-    "top_word": top_word_share,
+    "windows": Rule(_windows, lambda n: n * (steps(WINDOW) + 4 + 2 * math.log2(n + 1))),
+    "lines": Rule(_each(lines_share), lambda n: 2 * n),
+    "paragraphs": Rule(_each(paragraphs_share), lambda n: 3 * n),
+    "top_word": Rule(_each(top_word_share), lambda n: 4 * n),
 }
 
 
 def rule_order(texts: list[str]) -> list[str]:
-    """The rules by documents rejected per second on a sample, best first; without a sample, as listed."""
-    rate = {}
-    for name, rule in RULES.items():
-        start = time.perf_counter()
-        rejected = sum(rule(t) >= LIMITS[name] for t in texts)
-        rate[name] = (rejected + 0.01) / (time.perf_counter() - start + 1e-9)
-    return sorted(RULES, key=lambda r: -rate[r]) if texts else list(RULES)
+    """The rules by documents of a sample rejected per step, best first; without a sample, as listed."""
+    return ordered(RULES, texts, lambda name, values: values >= LIMITS[name])
 
 
-def repetition(docs: DataFrame, doc_id: str, text: str, *, sample_rows: int = 400, always: tuple[str, ...] = ("windows",)) -> DataFrame:
+def repetition(docs: DataFrame, doc_id: str, text: str, *, sample_rows: int = 400, always: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, chars, windows, lines, paragraphs, top_word, rule): each document's shares of repeated content.
 
     rule is the first rule of the cascade that rejects the document, null if none does. The cascade's order
     comes from a sample of at most sample_rows texts (those with the smallest hash of the id): rejections per
-    second of each rule, greatest first. The rules in `always` are measured for every document; the others
-    only until one has rejected it, and are null after that. So a rule's order changes which shares are
-    null, and `rule`, never a share or whether a document is rejected.
-
-    windows: of the reduced text (NFKC, lower case, letters and digits only) with 100 characters or more,
-    the share of windows of 20 characters that equal one starting earlier. An empty or null text repeats
-    nothing; repeated ids are rows of their own. Documents are scored where they lie, without a shuffle.
+    step of each rule, greatest first; steps are counted, not timed, so the order is the same in every run. A
+    rule is measured until one has rejected the document, and its share is null after that; the rules in `always` are
+    measured for every document. So the order changes which shares are null, and `rule`, never a share or
+    whether a document is rejected.
+
+    chars: characters of the reduced text (NFKC, lower case, letters and digits only); windows: of one with 100
+    characters or more, the share of windows of 20 characters that equal one starting earlier. An empty or null
+    text repeats nothing; repeated ids are rows of their own. Documents are scored where they lie, without a shuffle.
     """
     read = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     order = rule_order([r.text for r in sampled(read, "doc_id", sample_rows) if r.text])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1):
-            columns: dict[str, list] = {c: [] for c in ("chars", *RULES, "rule")}
-            for t in batch.column(1).to_pylist():
-                t, found = t or "", dict.fromkeys(RULES)
-                n, s = window_share(t)
-                first = None
-                for rule in order:
-                    if rule == "windows":
-                        found[rule] = s if n >= MIN_CHARS else 0.0
-                    elif first is None or rule in always:
-                        found[rule] = RULES[rule](t)
-                    if first is None and found[rule] >= LIMITS[rule]:
-                        first = rule
-                columns["chars"].append(n)
-                columns["rule"].append(first)
-                for rule in RULES:
-                    columns[rule].append(found[rule])
-            kinds = {"chars": pa.int64(), "rule": pa.string()}
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, kinds.get(k, pa.float64())) for k, v in columns.items())], names=["doc_id", *columns])
+        for batch in slices(batches, 1, _SLICE):
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            first: list[str | None] = [None] * len(texts)
+            found: dict[str, list[float | None]] = {r: [None] * len(texts) for r in RULES}
+            for rule in order:
+                asked = [i for i, f in enumerate(first) if f is None or rule in always]
+                for i, share in zip(asked, RULES[rule].measure([texts[i] for i in asked]).tolist(), strict=True):
+                    found[rule][i] = share
+                    if first[i] is None and share >= LIMITS[rule]:
+                        first[i] = rule
+            columns = [pa.array([len(reduced(t)) for t in texts], pa.int64()), *(pa.array(found[r], pa.float64()) for r in RULES), pa.array(first, pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "chars", *RULES, "rule"])
 
     return read.mapInArrow(measure, "doc_id long, chars long, " + ", ".join(f"{r} double" for r in RULES) + ", rule string")
