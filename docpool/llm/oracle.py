@@ -35,7 +35,20 @@ def _residue() -> str:
     return f"with f as ({_FIELDS}), m as (select chunk_id, field, {_BARE} as t from f) " + " union all ".join(parts)
 
 
+#: Chunks over the limit of their key, with LF line ends; a block is a run of fences and lines that are not blank.
+_LIMITED = r"""
+with l as (select key, max_chunk_size as n from (select *, row_number() over (partition by key order by updated_at desc nulls last, max_chunk_size desc nulls last, overlap_size desc nulls last) as place from chunker_config where key is not null) where place = 1),
+c as (select id, heading_path, text, case when l.key is null then 1500 when l.n > 0 then l.n else 8192 end as n from chunks left join l using (key)),
+o as (select id, heading_path, n, regexp_replace(text, '\r\n?', chr(10), 'g') as t from c where length(text) > n)
+"""
+_UNIT = r"(?:```[^\n]*(?:\n[^\n]*)*?(?:\n```[^\n]*|\z)|~~~[^\n]*(?:\n[^\n]*)*?(?:\n~~~[^\n]*|\z)|[^\n]*[^\s\x{85}\x{a0}\x{3000}][^\n]*)"
+
 ORACLE = {
+    "p7_found": _LIMITED + rf"""
+select id as chunk_id, case when coalesce(list_max(list_transform(regexp_extract_all(t, '(?m)^{_UNIT}(?:\n{_UNIT})*'), lambda x: length(x))), 0) <= n then 'block'
+       when list_max(list_transform(string_split(t, chr(10)), lambda x: length(x))) <= n then 'line' else 'char' end as boundary from o
+""",
+    "p7_whole": _LIMITED + "select id as chunk_id, heading_path, length(t) as chars, true as within from o",
     "p3_found": _residue(),
     "p1_found": f"""
 with rows as (select 'chunk' as kind, id as row_id, text from chunks union all select 'hit', hit_id, text from search_results where text is not null),

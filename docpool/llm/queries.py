@@ -113,6 +113,12 @@ def p7_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return _pieces(spark, folder).withColumnRenamed("row_id", "chunk_id")
 
 
+def p7_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """Of every chunk over the limit, the characters of its pieces without their overlaps, and whether each piece is within the limit."""
+    own = (F.length("text") - F.col("overlap")).cast("long")
+    return _pieces(spark, folder).groupBy(F.col("row_id").alias("chunk_id"), F.col("heading_path")).agg(F.sum(own).alias("chars"), F.bool_and(F.length("text") <= F.col("limit")).alias("within"))
+
+
 def _packs(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(table(spark, folder, "documents"), "doc_id", "source", "text", table(spark, folder, "pack_limits"), tokens="n_tokens")
 
@@ -155,6 +161,6 @@ QUERIES = {
     q.__name__: q
     for q in (
         p1_found, p1_top, p2_found, p2_classes, p3_found, p3_clean, p5_found, p5_ranking, p6_found, p6_nearest,
-        p7_found, p7_pieces, p8_found, p8_packs, p9_found, p9_passages, p10_found, p10_shares,
+        p7_found, p7_pieces, p7_whole, p8_found, p8_packs, p9_found, p9_passages, p10_found, p10_shares,
     )
 }
