@@ -43,6 +43,13 @@ o as (select id, heading_path, n, regexp_replace(text, '\r\n?', chr(10), 'g') as
 """
 _UNIT = r"(?:```[^\n]*(?:\n[^\n]*)*?(?:\n```[^\n]*|\z)|~~~[^\n]*(?:\n[^\n]*)*?(?:\n~~~[^\n]*|\z)|[^\n]*[^\s\x{85}\x{a0}\x{3000}][^\n]*)"
 
+#: Documents with their tokens; the lookahead of the pre-tokeniser's pattern is made up for by counting again what it parts.
+_SIZED = r"""
+with limits as (select lower(trim(source)) as s, min(capacity_tokens) as c from pack_limits group by 1),
+d as (select doc_id, lower(trim(source)) as s, coalesce(n_tokens,
+      len(regexp_extract_all(text, '''s|''t|''re|''ve|''m|''ll|''d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+')) + len(regexp_extract_all(text, '\s[\t\n\r\f]\S')), 0) as n from documents)
+"""
+
 ORACLE = {
     "p7_found": _LIMITED + rf"""
 select id as chunk_id, case when coalesce(list_max(list_transform(regexp_extract_all(t, '(?m)^{_UNIT}(?:\n{_UNIT})*'), lambda x: length(x))), 0) <= n then 'block'
@@ -73,12 +80,8 @@ p as (select a.id as a, b.id as b, array_cosine_similarity(a.v, b.v) as c from v
 k as (select *, row_number() over (partition by a order by round(c, 6) desc, b) as n from p where c >= 0.95)
 select x.a as id_a, x.b as id_b from k x join k y on x.a = y.b and x.b = y.a where x.n <= 5 and y.n <= 5 and x.a < x.b
 """,
-    "p8_found": """
-with limits as (select lower(trim(source)) as s, capacity_tokens as c from pack_limits),
-d as (select doc_id, lower(trim(source)) as s, coalesce(n_tokens,
-      len(regexp_extract_all(text, '''s|''t|''re|''ve|''m|''ll|''d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+')) + len(regexp_extract_all(text, '\\s[\\t\\n\\r\\f]\\S'))) as n from documents)
-select doc_id from d left join limits on d.s = limits.s and d.s <> 'default' where n > coalesce(c, (select c from limits where s = 'default'))
-""",
+    "p8_found": _SIZED + "select doc_id from d left join limits on d.s = limits.s and d.s <> 'default' where n > coalesce(c, (select c from limits where s = 'default'))",
+    "p8_full": _SIZED + "select case when c is not null then d.s else 'default' end as source, sum(n)::bigint as tokens, true as within, true as numbered from d left join limits on d.s = limits.s and d.s <> 'default' group by 1",
     "p9_found": f"""
 with d as (select doc_id, {_reduced("text")} as t from documents), i as (select item_id, {_reduced("text")} as t from eval_items),
 w as (select item_id, substr(t, n, 40) as run from (select item_id, t, unnest(range(1, length(t) - 38)) as n from i)),

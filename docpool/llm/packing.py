@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 import regex
@@ -17,8 +15,19 @@ from docpool.functions.storage import materialize
 #: Fixed value: the public GPT-2 pre-tokeniser pattern.
 GPT2_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _TOKENS = regex.compile(GPT2_PATTERN)
-#: Rounds of multiplicative weights, each of which prices one configuration.
+#: Rounds of multiplicative weights, each of which prices one configuration: this many, and more with more lengths.
 ROUNDS = 60
+LENGTHS_A_ROUND = 4
+#: Tasks that the sources' programs are spread over.
+SOURCE_TASKS = 32
+#: Powers of the length that are tried as prices.
+POWERS = (1.1, 3.0)
+#: Parts of the program's solution that are rounded down.
+PARTS = (1, 0.5, 0)
+#: Sizes that are told apart; of larger capacities sizes are rounded up to this part of the capacity.
+GRID = 4096
+#: How fast a length's weight falls as the program covers it.
+RATE = 1.0
 
 
 @F.pandas_udf(IntegerType())
@@ -27,55 +36,101 @@ def count_tokens(text: pd.Series) -> pd.Series:
 
 
 def price(lengths: np.ndarray, values: np.ndarray, supply: np.ndarray, capacity: int) -> np.ndarray:
-    """The knapsack of greatest value by dynamic programming: how many items of each length it takes.
+    """The knapsack of greatest value by dynamic programming, no length taken more often than supplied; of equal ones that with long items.
 
-    Lengths may repeat without limit in the program; what it takes beyond the supply is exchanged for what else fits.
+    A length that may be taken n times counts as items of 1, 2, 4.. times, so a pass over the capacities settles each.
     """
     best = np.zeros(capacity + 1)
-    taken = np.full(capacity + 1, -1)
-    for c in range(int(lengths[0]), capacity + 1):
-        n = int(np.searchsorted(lengths, c, "right"))
-        options = best[c - lengths[:n]] + values[:n]
-        i = n - 1 - int(options[::-1].argmax())  # of equal ones the longest, so that the short are left to fill up
-        if options[i] > best[c - 1]:
-            best[c], taken[c] = options[i], i
-        else:
-            best[c] = best[c - 1]
+    steps: list[tuple[int, int, np.ndarray]] = []
+    for i in np.nonzero(supply)[0][::-1]:
+        size, left, times = int(lengths[i]), min(int(supply[i]), capacity // int(lengths[i])), 1
+        while left > 0:
+            n = min(times, left)
+            options = best[: capacity + 1 - n * size] + n * values[i]
+            better = options > best[n * size :]
+            steps.append((int(i), n, better))
+            np.maximum(best[n * size :], options, out=best[n * size :])
+            left, times = left - n, times * 2
     pattern = np.zeros(len(lengths), np.int64)
     c = capacity
-    while c > 0:
-        if taken[c] < 0 or best[c] == best[c - 1]:
-            c -= 1
-            continue
-        pattern[taken[c]] += 1
-        c -= int(lengths[taken[c]])
-    pattern = np.minimum(pattern, supply)
-    return top_up(lengths, supply, pattern, capacity - int((pattern * lengths).sum()))
-
-
-def top_up(lengths: np.ndarray, left: np.ndarray, pattern: np.ndarray, room: int) -> np.ndarray:
-    """The pattern with what still fits of `left`, the supply, longest first."""
-    pattern = pattern.copy()
-    i = len(lengths) - 1
-    while i >= 0 and room >= lengths[0]:
-        i = min(i, int(np.searchsorted(lengths, room, "right")) - 1)
-        while i >= 0 and left[i] <= pattern[i]:
-            i -= 1
-        if i < 0:
+    for i, n, better in reversed(steps):
+        w = n * int(lengths[i])
+        if c >= w and better[c - w]:
+            pattern[i] += n
+            c -= w
+    return pattern
+
+
+def best_fit(lengths: np.ndarray, supply: np.ndarray, capacity: int) -> int:
+    """The number of packs that filling them one after the other takes, each with the longest item that still fits."""
+    left, packs = supply.copy(), 0
+    while left.any():
+        pattern, room, i = np.zeros(len(lengths), np.int64), capacity, len(lengths) - 1
+        while i >= 0 and room >= lengths[0]:
+            i = min(i, int(np.searchsorted(lengths, room, "right")) - 1)
+            while i >= 0 and not left[i]:
+                i -= 1
+            if i >= 0:
+                pattern[i] = min(int(left[i]), int(room // lengths[i]))
+                room -= int(pattern[i] * lengths[i])
+                i -= 1
+        times = int((left[pattern > 0] // pattern[pattern > 0]).min())
+        packs, left = packs + times, left - pattern * times
+    return packs
+
+
+def covering(lengths: np.ndarray, supply: np.ndarray, capacity: int, rounds: int) -> tuple[list[tuple[np.ndarray, float]], np.ndarray]:
+    """Configurations, how often each is used, and the lengths' weights: multiplicative weights for the covering program.
+
+    The program is "each length at least its supply, with the least number of packs". A round prices the configuration of
+    greatest weight and uses it; a length's weight is its size times exp(-RATE x what the mean solution, scaled to the
+    total demand, covers of its supply), so each use lowers those it covers, in steps that shrink with the rounds.
+    """
+    used: dict[bytes, list] = {}
+    packs = float(lengths @ supply) / capacity
+    weights, total = lengths / capacity, np.zeros(len(lengths))
+    for i in range(rounds):
+        pattern = price(lengths, weights, supply, capacity)
+        used.setdefault(pattern.tobytes(), [pattern, 0])[1] += 1
+        total += pattern
+        weights = lengths / capacity * np.exp(-RATE * np.minimum(total * packs / (i + 1) / supply - 1, 50))
+    return [(pattern, n * packs / rounds) for pattern, n in used.values()], weights
+
+
+def fullest(lengths: np.ndarray, left: np.ndarray, capacity: int) -> np.ndarray:
+    """The configuration with the longest item left that fills a pack most: the knapsack whose values are the sizes.
+
+    Sizes that can be reached are the bits of one number, so an item is settled by a shift; items come longest first, and
+    the program ends when the pack is full, so that short items, which fill up best, are left.
+    """
+    pattern = np.zeros(len(lengths), np.int64)
+    longest = int(np.nonzero(left)[0][-1])
+    pattern[longest] = 1
+    room = capacity - int(lengths[longest])
+    reach, mask, steps = 1, (1 << (room + 1)) - 1, []
+    for i in np.nonzero(left)[0][::-1].tolist():
+        size, times = int(lengths[i]), 1
+        rest = min(int(left[i]) - (i == longest), room // size)
+        while rest > 0 and not reach >> room:
+            n = min(times, rest)
+            steps.append((i, n, reach))
+            reach |= (reach << n * size) & mask
+            rest, times = rest - n, times * 2
+        if reach >> room:
             break
-        n = min(int(left[i] - pattern[i]), int(room // lengths[i]))
-        pattern[i] += n
-        room -= n * int(lengths[i])
-        i -= 1
+    c = reach.bit_length() - 1
+    for i, n, before in reversed(steps):
+        if not before >> c & 1:
+            pattern[i] += n
+            c -= n * int(lengths[i])
     return pattern
 
 
-def fill(lengths: np.ndarray, supply: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
-    """Best fit of what is left, longest first: configurations over the lengths, each with its number of packs."""
+def _rest(lengths: np.ndarray, left: np.ndarray, capacity: int, power: float) -> list[tuple[np.ndarray, int]]:
+    """Configurations priced one after the other that use up what is left: by sizes, or by a power of them."""
     out: list[tuple[np.ndarray, int]] = []
-    left = supply.copy()
     while left.any():
-        pattern = top_up(lengths, left, np.zeros(len(lengths), np.int64), capacity)
+        pattern = price(lengths, (lengths / capacity) ** power, left, capacity) if power else fullest(lengths, left, capacity)
         times = int((left[pattern > 0] // pattern[pattern > 0]).min())
         out.append((pattern, times))
         left = left - pattern * times
@@ -85,35 +140,30 @@ def fill(lengths: np.ndarray, supply: np.ndarray, capacity: int) -> list[tuple[n
 def configurations(lengths: np.ndarray, supply: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[np.ndarray, int]]:
     """Configurations of a histogram of lengths, with the number of packs filled by each; they use up the supply.
 
-    The covering program "each length at least its supply, with the least number of packs" is solved by
-    multiplicative weights: each round prices the best configuration under the current weights, uses it, and
-    lowers the weights of the lengths it covers. The mean solution is scaled to the total demand, and each
-    configuration in turn rounded down to what the supply still left fills whole, so that a scarce length
-    holds back only the configurations that have it. What is left over goes into packs by best fit. Of the whole
-    demand, a half, a quarter and so on down to none, the largest part counts that leaves the fewest packs.
+    The solution of the covering program is rounded down, configuration by configuration, to what the supply still left
+    fills whole. What rounding leaves is priced again, a configuration at a time, over the items left, by their sizes (the
+    program's prices where packs are full), each used as often as its scarcest length allows. If more packs come out
+    than the tokens need at least, smaller parts of the solution are tried, and if these are still more than best fit
+    takes, prices that favour long items; the fewest packs count. So every pack is a configuration that pricing by
+    dynamic programming found.
     """
     order = np.argsort(lengths)
     lengths, supply = lengths[order].astype(np.int64), supply[order].astype(np.int64)
-    used: dict[bytes, list] = {}
-    share = supply / supply.max()
-    weights = lengths / capacity
-    for _ in range(rounds):
-        pattern = price(lengths, weights, supply, capacity)
-        entry = used.setdefault(pattern.tobytes(), [pattern, 0])
-        entry[1] += 1
-        load = pattern / share
-        weights = weights * np.exp(-0.5 * load / load.max())
-        weights = np.maximum(weights / weights.max(), 1e-12)
-    packs = float(lengths @ supply) / capacity  # the total demand
+    solution, _ = covering(lengths, supply, capacity, max(rounds, len(lengths) // LENGTHS_A_ROUND))
+    enough = -(-int(lengths @ supply) // capacity)
     best: list[tuple[np.ndarray, int]] = []
-    for part in (1, 1 / 2, 1 / 4, 1 / 8, 1 / 16, 0):
+    for part, power in (*((p, 0.0) for p in PARTS), *((p, w) for w in POWERS for p in PARTS)):
+        if power == POWERS[0] and part == PARTS[0]:
+            enough = best_fit(lengths, supply, capacity)
+        if best and sum(n for _, n in best) <= enough:
+            break
         out: list[tuple[np.ndarray, int]] = []
         left = supply.copy()
-        for pattern, n in used.values():
-            if times := min(int(n * packs * part / rounds), int((left[pattern > 0] // pattern[pattern > 0]).min())):
+        for pattern, n in sorted(solution, key=lambda x: -x[1]):
+            if times := min(int(n * part), int((left[pattern > 0] // pattern[pattern > 0]).min())):
                 out.append((pattern, times))
                 left = left - pattern * times
-        out += fill(lengths, left, capacity)
+        out += _rest(lengths, left, capacity, power)
         if not best or sum(n for _, n in out) < sum(n for _, n in best):
             best = out
     back = np.argsort(order)
@@ -122,15 +172,15 @@ def configurations(lengths: np.ndarray, supply: np.ndarray, capacity: int, round
 
 def _plan(rounds: int):
     def plan(histogram: pd.DataFrame) -> pd.DataFrame:
-        lengths, supply = histogram["size"].to_numpy(), histogram["n"].to_numpy()
+        cells, supply = histogram["cell"].to_numpy(), histogram["n"].to_numpy()
         rows, pack = [], 0
-        first = np.zeros(len(lengths), np.int64)
-        for pattern, times in configurations(lengths, supply, int(histogram["capacity"].iloc[0]), rounds):
+        first = np.zeros(len(cells), np.int64)
+        for pattern, times in configurations(cells, supply, int(histogram["room"].iloc[0]), rounds):
             for i in np.nonzero(pattern)[0]:
-                rows.append((histogram["source"].iloc[0], lengths[i], first[i], first[i] + pattern[i] * times, pattern[i], pack))
+                rows.append((histogram["source"].iloc[0], cells[i], first[i], first[i] + pattern[i] * times, pattern[i], pack))
                 first[i] += pattern[i] * times
             pack += times
-        return pd.DataFrame(rows, columns=["source", "size", "first", "last", "each", "pack"])
+        return pd.DataFrame(rows, columns=["source", "cell", "first", "last", "each", "pack"])
 
     return plan
 
@@ -152,8 +202,10 @@ def pack_documents(docs: DataFrame, doc_id: str, source: str, text: str, limits:
     (an empty or null text) take a place of size 0 in pack 0. Repeated rows are documents of their own. Without a
     `default` row, documents that need it are an error. No documents give no rows.
 
-    Only the histogram of lengths by source comes together, at most `capacity` rows of a source. Each row's
-    number among those of its source and length, counted in salted parts, says which pack it goes to.
+    Only the histogram of lengths by source comes together, at most GRID rows of a source, so that the program's work has a
+    bound: beyond a capacity of GRID tokens, sizes are rounded up to the next part of the capacity (and a pack's items
+    may leave that much of it free each). Each row's number among those of its source and size, counted in salted
+    parts, says which pack it goes to.
     """
     read = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.lower(F.trim(source)).alias("limit_source"), F.col(text).alias("text"), (F.col(tokens) if isinstance(tokens, str) else tokens if tokens is not None else F.lit(None)).cast("int").alias("known"))
     known = read.where(F.col("known").isNotNull()).select("doc_id", "limit_source", F.col("known").alias("tokens"))
@@ -168,13 +220,15 @@ def pack_documents(docs: DataFrame, doc_id: str, source: str, text: str, limits:
     cut = named.withColumn("pieces", count).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
     cut = cut.withColumn("first_token", (F.col("piece").cast("long") * F.col("capacity"))).withColumn("size", F.least(F.col("capacity"), F.col("tokens") - F.col("first_token")).cast("int"))
     cut = materialize(cut, "pieces")
-    packed = cut.where(F.col("size") > 0)
-    histogram = packed.groupBy("source", "capacity", "size").agg(F.count(F.lit(1)).alias("n"))
-    plan = materialize(histogram.groupBy("source").applyInPandas(_plan(rounds), "source string, size int, first long, last long, each long, pack long"), "plan")
-    # many places of one length lie in few ranges, so the ranges of a length come as one list
-    ranges = plan.groupBy(F.col("source").alias("s"), F.col("size").alias("z")).agg(F.array_sort(F.collect_list(F.struct("first", "last", "each", "pack"))).alias("ranges"))
-    numbered = salted_row_number(packed, ["source", "size"], ["doc_id", "piece"], "number")
-    placed = numbered.join(ranges, (F.col("source") == F.col("s")) & (F.col("size") == F.col("z")))
+    unit = F.ceil(F.col("capacity") / GRID)
+    room = F.floor(F.col("capacity") / unit).cast("int")
+    packed = cut.where(F.col("size") > 0).withColumn("room", room).withColumn("cell", F.least(F.ceil(F.col("size") / unit), room).cast("int"))
+    histogram = packed.groupBy("source", "room", "cell").agg(F.count(F.lit(1)).alias("n")).repartition(SOURCE_TASKS, "source")
+    plan = materialize(histogram.groupBy("source").applyInPandas(_plan(rounds), "source string, cell int, first long, last long, each long, pack long"), "plan")
+    # many places of one size lie in few ranges, so the ranges of a size come as one list
+    ranges = plan.groupBy(F.col("source").alias("s"), F.col("cell").alias("z")).agg(F.array_sort(F.collect_list(F.struct("first", "last", "each", "pack"))).alias("ranges"))
+    numbered = salted_row_number(packed, ["source", "cell"], ["doc_id", "piece"], "number")
+    placed = numbered.join(ranges, (F.col("source") == F.col("s")) & (F.col("cell") == F.col("z")))
     place = F.filter("ranges", lambda r: (r["first"] <= F.col("number")) & (F.col("number") < r["last"]))[0]
     placed = placed.withColumn("r", place).withColumn("pack", F.col("r.pack") + F.floor((F.col("number") - F.col("r.first")) / F.col("r.each")))
     columns = ["doc_id", "source", "piece", "pieces", "first_token", F.col("size").alias("tokens"), "capacity", F.col("pack").cast("long").alias("pack")]

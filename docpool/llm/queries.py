@@ -133,6 +133,12 @@ def p8_packs(spark: SparkSession, folder: str) -> DataFrame:
     return _packs(spark, folder).groupBy("source", "pack").agg(F.count(F.lit(1)).alias("items"), F.sum("tokens").alias("tokens"), F.max("capacity").alias("capacity"))
 
 
+def p8_full(spark: SparkSession, folder: str) -> DataFrame:
+    """Of every source the tokens in its packs, and whether no pack holds more than the capacity and packs are numbered from 0 without a gap."""
+    packs = p8_packs(spark, folder).groupBy("source").agg(F.sum("tokens").alias("tokens"), F.bool_and(F.col("tokens") <= F.col("capacity")).alias("within"), (F.count(F.lit(1)) == F.max("pack") + 1).alias("numbered"))
+    return packs
+
+
 def _leaks(spark: SparkSession, folder: str) -> DataFrame:
     return leaks(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "text", min_run=40)
 
@@ -161,6 +167,6 @@ QUERIES = {
     q.__name__: q
     for q in (
         p1_found, p1_top, p2_found, p2_classes, p3_found, p3_clean, p5_found, p5_ranking, p6_found, p6_nearest,
-        p7_found, p7_pieces, p7_whole, p8_found, p8_packs, p9_found, p9_passages, p10_found, p10_shares,
+        p7_found, p7_pieces, p7_whole, p8_found, p8_packs, p8_full, p9_found, p9_passages, p10_found, p10_shares,
     )
 }

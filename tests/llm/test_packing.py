@@ -26,27 +26,61 @@ def test_configurations_use_up_the_supply(seed):
     assert (sum(p * n for p, n in found) == supply).all()
     assert all((p * lengths).sum() <= capacity for p, _ in found)
     order = np.argsort(lengths)
-    decreasing = sum(n for _, n in pk.fill(lengths[order], supply[order], capacity))
-    assert sum(n for _, n in found) <= 1.02 * decreasing + 3
+    assert sum(n for _, n in found) <= pk.best_fit(lengths[order], supply[order], capacity)
 
 
-def test_scarce_lengths_do_not_hold_back_the_program(monkeypatch):
+@pytest.mark.parametrize("scarce", [0, 40, 150])
+def test_packs_come_from_pricing_and_are_never_more_than_best_fit(scarce, monkeypatch):
     rng = np.random.default_rng(5)
     lengths, supply = np.arange(5, 200), rng.integers(1, 300, 195)
-    supply[rng.permutation(195)[:40]] = 1
-    fits = []
-    fill = pk.fill
-    monkeypatch.setattr(pk, "fill", lambda *a: fits.append(fill(*a)) or fits[-1])
+    supply[rng.permutation(195)[:scarce]] = 1
+    priced = set()
+    for name in ("price", "fullest"):
+        monkeypatch.setattr(pk, name, lambda *a, f=getattr(pk, name): priced.add((p := f(*a)).tobytes()) or p)
     found = pk.configurations(lengths, supply, 300)
     assert (sum(p * n for p, n in found) == supply).all() and all((p * lengths).sum() <= 300 for p, _ in found)
+    assert all(p.tobytes() in priced for p, _ in found)
     packs = sum(n for _, n in found)
-    by_fit = next(f for f in fits if all((x == y).all() and n == k for (x, n), (y, k) in zip(reversed(f), reversed(found), strict=False)))
-    assert packs - sum(n for _, n in by_fit) > pk.ROUNDS
+    assert packs <= pk.best_fit(lengths, supply, 300)
+
+
+def test_covering_program_nears_its_bound():
+    rng = np.random.default_rng(7)
+    lengths, supply = np.arange(10, 60), rng.integers(200, 400, 50)
+    covered = {}
+    for rounds in (20, 400):
+        solution, weights = pk.covering(lengths, supply, 200, rounds)
+        least = min((sum(p * x for p, x in solution) / supply))
+        covered[rounds] = least
+        dual = (weights @ supply) / (weights @ pk.price(lengths, weights, supply, 200))  # a lower bound of the packs
+        assert dual <= sum(x for _, x in solution) * 1.001 / least
+    assert covered[20] < covered[400] > 0.9
+
+
+def test_capacities_beyond_the_grid(spark, monkeypatch):
+    monkeypatch.setattr(pk, "GRID", 50)
+    rng = random.Random(4)
+    rows = [(i, "git", "text", rng.randrange(1, 1300)) for i in range(300)]
+    load = defaultdict(int)
+    for r in packed(spark, rows, [("default", 1001)]):
+        load[r.pack] += r.tokens
+    assert sum(load.values()) == sum(r[3] for r in rows) and max(load.values()) <= 1001
+    assert len(load) <= 1.1 * sum(load.values()) / 1001 + 1
 
 
 def test_pricing_finds_the_best():
     pattern = pk.price(np.array([3, 5, 7]), np.array([3.0, 5.5, 7.2]), np.array([9, 9, 9]), 15)
     assert pattern.tolist() == [0, 3, 0]
+    rng = np.random.default_rng(2)
+    for _ in range(30):  # against all choices
+        lengths, values, supply = np.sort(rng.permutation(np.arange(2, 12))[:4]), rng.random(4), rng.integers(0, 4, 4)
+        got = pk.price(lengths, values, supply, 20)
+        choices = [np.array(c) for c in np.ndindex(*(supply + 1)) if np.array(c) @ lengths <= 20]
+        assert (got <= supply).all() and got @ lengths <= 20 and got @ values == pytest.approx(max(c @ values for c in choices))
+        if supply.any():
+            longest = np.nonzero(supply)[0][-1]
+            got = pk.fullest(lengths, supply, 20)
+            assert (got <= supply).all() and got[longest] and got @ lengths == max(c @ lengths for c in choices if c[longest])
 
 
 def test_packs(spark):
