@@ -63,6 +63,16 @@ used as (select kind, row_id, unnest(regexp_extract_all({_plain("text")}, '[A-Za
 n as (select kind, row_id, term, count(*) as uses from used where length(term) >= 3 and regexp_matches(term, '[a-z]') group by all),
 r as (select kind, term from n group by all having count(*) between 2 and 6)
 select kind, row_id, term from n join r using (kind, term) where uses >= 3
+""",
+    "p1_top": f"""
+with rows as (select 'chunk' as kind, id as row_id, text from chunks union all select 'hit', hit_id, text from search_results where text is not null),
+used as (select kind, row_id, unnest(regexp_extract_all({_plain("text")}, '[A-Za-z]+-[0-9]+|[A-Za-z0-9_]+|[^\\x00-\\x7F]+')) as term from rows),
+n as (select kind, row_id, term, count(*)::double as k from used where length(term) >= 3 and regexp_matches(term, '[a-z]') group by all),
+c as (select *, sum(k) over (partition by kind, row_id) as r, sum(k) over (partition by kind, term) as c, count(*) over (partition by kind, term) as n_rows, sum(k) over (partition by kind) as t from n),
+g as (select kind, row_id, term, 2 * (k * ln(k * t / (r * c)) + case when c - k > 0 then (c - k) * ln((c - k) * t / ((t - r) * c)) else 0 end
+      + case when r - k > 0 then (r - k) * ln((r - k) * t / (r * (t - c))) else 0 end + case when t - r - c + k > 0 then (t - r - c + k) * ln((t - r - c + k) * t / ((t - r) * (t - c))) else 0 end) as score from c where n_rows >= 2 and k * t > r * c),
+p as (select *, row_number() over (partition by kind, row_id order by round(score, 6) desc, term) as place from g)
+select kind, row_id, term, place, round(score, 4) as score from p where place <= 5
 """,
     "p5_found": """
 with raw as (select query_id, chunk_id, unnest(['emb', 'lex', 'grep', 'rerank']) as signal,

@@ -25,7 +25,7 @@ def _texts(spark: SparkSession, folder: str) -> DataFrame:
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """(kind, row_id, term): terms used 3 times or more in a row, and in 2 to 6 rows of its table."""
     found = distinctive_terms(_texts(spark, folder), F.col("kind"), "row_id", "text", min_uses=3, min_rows=2, max_rows=6)
-    return found.where(F.col("score") > 0).select("kind", "row_id", "term").distinct()
+    return found.where(F.col("score") >= 0).select("kind", "row_id", "term").distinct()
 
 
 def p1_top(spark: SparkSession, folder: str) -> DataFrame:

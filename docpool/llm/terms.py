@@ -17,6 +17,10 @@ from docpool.llm._text import compat_lower, slices
 #: Terms with a letter a-z. Runs of non-ASCII characters are terms too, but hold no such letter and consume none.
 _TERM = re.compile(r"[A-Za-z]+-[0-9]+|[A-Za-z0-9_]+")
 _LETTER = re.compile(r"[a-z]")
+#: The most terms that are broadcast as hot.
+HOT_TERMS = 65_536
+#: Decimal places of the scores by which terms are ordered.
+DIGITS = 6
 #: Terms that a task adds up before it passes them on.
 _HELD_TERMS = 100_000
 
@@ -101,9 +105,10 @@ def distinctive_terms(
     counts. Other columns are not read. No rows give no rows.
 
     Statistics cover all rows: a task adds up its terms before the shuffle. With max_rows, common terms are
-    dropped before the shuffle, as a slice of rows can prove them common. Otherwise terms of hot_rows rows
-    and more, of which there are at most all (row, term) pairs / hot_rows, are joined by broadcast, so no task
-    gets a hot term's rows.
+    dropped before the shuffle, as a slice of rows can prove them common. Terms of hot_rows rows and more, and of at least
+    one in HOT_TERMS of all (row, term) pairs, so that there are never more than HOT_TERMS of them, are listed in a
+    broadcast table; their rows are salted into parts of about that size, so no task gets a hot term whole. The
+    order goes by scores rounded to DIGITS places, so that equal ones are ties.
     """
     read = rows.select((F.lit(kind) if isinstance(kind, str) else kind).cast("string").alias("kind"), F.col(row_id).cast("long").alias("row_id"), F.col(text).alias("text"))
     pairs = read.mapInArrow(_pairs(min_uses, max_rows), "kind string, row_id long, term string, uses long, length long")
@@ -111,26 +116,22 @@ def distinctive_terms(
     stats = stats.groupBy("kind", "term").agg(F.sum("rows").alias("rows"), F.sum("uses").alias("all_uses"))
     stats = materialize(stats, "terms")
     totals = stats.groupBy("kind").agg(F.sum("all_uses").alias("total"))
-    wanted = stats.where((F.col("rows") >= min_rows) & (F.col("rows") <= (max_rows if max_rows is not None else F.col("rows"))))
-    if max_rows is None or max_rows >= hot_rows:
-        hot = wanted.where(F.col("rows") >= hot_rows)
-        few = hot.count() <= 100_000
-        joined = pairs.join(F.broadcast(hot) if few else hot, ["kind", "term"])
-        if few:
-            cold = pairs.join(F.broadcast(hot.select("kind", "term")), ["kind", "term"], "left_anti")
-            joined = joined.unionByName(cold.join(wanted.where(F.col("rows") < hot_rows), ["kind", "term"]))
-        else:
-            joined = pairs.join(wanted, ["kind", "term"])
-    else:
-        joined = pairs.join(wanted, ["kind", "term"])
-    joined = joined.join(totals, "kind")
+    pairs_of_all = stats.agg(F.sum("rows")).first()[0] or 0
+    most = max(hot_rows, pairs_of_all // HOT_TERMS + 1)
+    is_wanted = (F.col("rows") >= min_rows) & (F.col("rows") <= (max_rows if max_rows is not None else F.col("rows")))
+    parts = F.ceil(F.col("rows") / most).cast("int")
+    hot = stats.where(F.col("rows") >= most).select("kind", "term", parts.alias("parts"), is_wanted.alias("wanted"))
+    salted = pairs.join(F.broadcast(hot), ["kind", "term"], "left").where(F.coalesce("wanted", F.lit(True)))
+    salted = salted.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("row_id", "length"), F.col("parts")), F.lit(0)).cast("int")).drop("parts", "wanted")
+    spread = stats.where(is_wanted).withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(F.col("rows") >= most, parts).otherwise(1) - 1)))
+    joined = salted.join(spread, ["kind", "term", "salt"]).join(totals, "kind")
     n = F.col("total").cast("double")
     k11, row, col = (F.col(c).cast("double") for c in ("uses", "length", "all_uses"))
     k12, k21 = col - k11, row - k11
     k22 = n - row - k12
     score = 2 * (_g(k11, row * col / n) + _g(k12, (n - row) * col / n) + _g(k21, row * (n - col) / n) + _g(k22, (n - row) * (n - col) / n))
-    scored = joined.select("kind", "row_id", "term", "uses", "rows", score.alias("score"), (k11 * n > row * col).alias("over"))
+    scored = joined.select("kind", "row_id", "term", "uses", "rows", F.greatest(score, F.lit(0.0)).alias("score"), (k11 * n > row * col).alias("over"))
     if top is not None:
-        best = Window.partitionBy("kind", "row_id").orderBy(F.desc("score"), "term")
+        best = Window.partitionBy("kind", "row_id").orderBy(F.desc(F.round("score", DIGITS)), "term")
         scored = scored.where("over").withColumn("place", F.row_number().over(best)).where(F.col("place") <= top)
     return scored

@@ -51,6 +51,20 @@ def test_hot_terms_give_the_same(spark):
     assert {k: r.score for k, r in plain.items()} == pytest.approx({k: r.score for k, r in hot.items()})
 
 
+def test_any_number_of_hot_terms(spark, monkeypatch):
+    texts = [f"common word{i % 7} word{i % 7} name{i} all of them" for i in range(40)]
+    plain = found(distinctive_terms(frame(spark, *texts), "doc", "id", "text", min_rows=2))
+    for terms in (1, 3, 1000):
+        monkeypatch.setattr("docpool.llm.terms.HOT_TERMS", terms)
+        assert {k: (r.rows, r.score) for k, r in found(distinctive_terms(frame(spark, *texts), "doc", "id", "text", min_rows=2, hot_rows=2)).items()} == {k: (r.rows, pytest.approx(r.score)) for k, r in plain.items()}
+        assert set(found(distinctive_terms(frame(spark, *texts), "doc", "id", "text", min_rows=2, max_rows=6, hot_rows=2))) == {k for k, r in plain.items() if r.rows <= 6}
+
+
+def test_equal_rows_have_a_score_of_zero_and_are_kept(spark):
+    df = frame(spark, "abc abc abc", "abc abc abc")
+    assert {k: r.score for k, r in found(distinctive_terms(df, "doc", "id", "text", min_uses=3, min_rows=2, max_rows=6)).items()} == {(0, "abc"): 0.0, (1, "abc"): 0.0}
+
+
 def test_top_and_repeated_rows(spark):
     df = frame(spark, "aaa aaa bbb ccc", "ddd")
     top = distinctive_terms(df, "doc", "id", "text", top=2).collect()
