@@ -93,13 +93,39 @@ def bands_and_sketch(signatures: np.ndarray, salt: np.ndarray) -> tuple[np.ndarr
     return bands.view(np.int64), np.stack([ones[:, :64].sum(1), ones[:, 64:].sum(1)], 1).astype(_U).view(np.int64)
 
 
+def weighed(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes of a text, sorted, and how often each occurs."""
+    found, times = np.unique(hashes, return_counts=True)
+    return found, times.astype(np.float64)
+
+
+def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], weights: bool = False) -> float:
+    """Jaccard similarity of two texts' hashes, or the probability Jaccard similarity of their frequencies.
+
+    The latter is the sum over common elements i of 1 / sum_j max(x_j / x_i, y_j / y_i). The first of the two is the
+    greater where x_j / y_j is no less than x_i / y_i, so sums along the order of these ratios give all terms.
+    """
+    (x, wx), (y, wy) = a, b
+    both, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    if not weights or not len(both):
+        return len(both) / max(1, len(x) + len(y) - len(both))
+    p, q = wx[i], wy[j]
+    order = np.argsort(p / q, kind="stable")
+    p, q = p[order], q[order]
+    ratio = p / q
+    only_x, only_y = wx.sum() - p.sum(), wy.sum() - q.sum()  # these have ratios beyond either end
+    least = np.searchsorted(ratio, ratio, "left")
+    above = only_x + (p.sum() - np.concatenate([[0], np.cumsum(p)]))[least]
+    below = only_y + np.concatenate([[0], np.cumsum(q)])[least]
+    return float((1 / (above / p + below / q)).sum())
+
+
 def jaccard(a: str, b: str, size: int) -> float:
-    x, y = ({t[i : i + size] for i in range(len(t) - size + 1)} for t in (a, b))
-    common = len(x & y)
-    return common / (len(x) + len(y) - common) if common else 0.0
+    """The Jaccard similarity of two texts' sets of substrings of `size` characters."""
+    return similarity(*(weighed(shingles([t], size)[0]) for t in (a, b)))
 
 
-def _signed(fold: Callable[[str], str], size: int, min_chars: int, exact: bool):
+def _signed(fold: Callable[[str], str], size: int, min_chars: int, exact: bool, weights: bool):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2, 1_000_000):
             ids, groups, texts, originals = [], [], [], []
@@ -113,7 +139,12 @@ def _signed(fold: Callable[[str], str], size: int, min_chars: int, exact: bool):
                 continue
             hashes, counts = shingles(texts, size)
             salt = np.array([0 if g is None else int.from_bytes(_digest(g), "little") for g in groups], _U)
-            bands, sketch = bands_and_sketch(prob_min_hash(hashes, counts), salt)
+            times = None
+            if weights:  # an element once, at the rate of its frequency
+                ends = np.cumsum(counts)
+                parts = [weighed(hashes[e - n : e]) for e, n in zip(ends, counts, strict=True)]
+                hashes, times, counts = np.concatenate([h for h, _ in parts]), np.concatenate([w for _, w in parts]), np.array([len(h) for h, _ in parts])
+            bands, sketch = bands_and_sketch(prob_min_hash(hashes, counts, weights=times), salt)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array([_digest(t, 16) for t in (originals if exact else texts)], pa.binary()), pa.array(groups, pa.string()),
                  pa.FixedSizeListArray.from_arrays(pa.array(bands.ravel()), BANDS).cast(pa.list_(pa.int64())),
@@ -128,12 +159,17 @@ def _digest(text: str, size: int = 8) -> bytes:
     return blake2b(text.encode("utf-8", "surrogatepass"), digest_size=size).digest()
 
 
-def _verified(fold: Callable[[str], str], size: int):
+def _verified(fold: Callable[[str], str], size: int, weights: bool):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, x, y = (batch.column(k).to_pylist() for k in range(4))
-            scores = [jaccard(fold(s), fold(t), size) for s, t in zip(x, y, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(scores, pa.float64())], names=["rep_a", "rep_b", "similarity"])
+            for part in slices(slices(iter([batch]), 2), 3):
+                a, b, x, y = (part.column(k).to_pylist() for k in range(4))
+                texts = dict(zip(a + b, x + y, strict=True))  # a text is hashed once for all its pairs in the batch
+                hashes, counts = shingles([fold(t) for t in texts.values()], size)
+                ends = np.cumsum(counts)
+                known = {i: weighed(hashes[e - n : e]) for i, e, n in zip(texts, ends, counts, strict=True)}
+                scores = [similarity(known[i], known[j], weights) for i, j in zip(a, b, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(scores, pa.float64())], names=["rep_a", "rep_b", "similarity"])
 
     return verify
 
@@ -169,6 +205,7 @@ def near_duplicates(
     threshold: float = 0.7,
     min_chars: int = 200,
     exact: bool = False,
+    weights: bool = False,
     tile: int = TILE,
 ) -> tuple[DataFrame, DataFrame]:
     """(classes, links): rows whose folded texts share `threshold` or more of their distinct substrings of `size` characters.
@@ -178,6 +215,9 @@ def near_duplicates(
     that are similar, by their first rows. Links are found by banding (see BANDS for the loss) and verified
     exactly. Ids must be distinct; of repeated ids one row counts.
 
+    With `weights`, a substring weighs as much as it occurs in the text, and the similarity is that of ProbMinHash,
+    the probability Jaccard similarity of the frequencies, in the signatures and in the verification.
+
     Null texts and texts with fewer than min_chars or `size` characters after folding are not compared. Rows
     with a null group form one group. No rows give two empty tables.
 
@@ -185,7 +225,7 @@ def near_duplicates(
     a bucket of many different texts is cut into tiles. Texts move only for rows that have a candidate.
     """
     read = rows.select(F.col(row_id).cast("long").alias("id"), (F.col(group) if group else F.lit(None)).cast("string").alias("grp"), F.col(text).alias("text"))
-    signed = materialize(read.mapInArrow(_signed(fold, size, min_chars, exact), "id long, content binary, grp string, bands array<long>, s1 long, s2 long"), "signatures")
+    signed = materialize(read.mapInArrow(_signed(fold, size, min_chars, exact, weights), "id long, content binary, grp string, bands array<long>, s1 long, s2 long"), "signatures")
     found = signed.groupBy("grp", "content").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("s1").alias("s1"), F.first("s2").alias("s2"))
     members = found.select(F.explode("bands").alias("bucket"), F.col("rep").alias("id"), "s1", "s2")
     # of 128 bits a pair at the threshold shares (1 + threshold) / 2; four standard deviations less are let pass
@@ -194,7 +234,7 @@ def near_duplicates(
     ids = pairs.select(F.explode(F.array("rep_a", "rep_b")).alias("id")).distinct()
     texts = materialize(read.select("id", "text").join(ids, "id", "left_semi").dropDuplicates(["id"]), "texts")
     joined = pairs.join(texts.select(F.col("id").alias("rep_a"), F.col("text").alias("x")), "rep_a").join(texts.select(F.col("id").alias("rep_b"), F.col("text").alias("y")), "rep_b")
-    links = joined.select("rep_a", "rep_b", "x", "y").mapInArrow(_verified(fold, size), "rep_a long, rep_b long, similarity double")
+    links = joined.select("rep_a", "rep_b", "x", "y").mapInArrow(_verified(fold, size, weights), "rep_a long, rep_b long, similarity double")
     classes = signed.select("id", "grp", "content").join(found.select(F.col("grp").alias("g"), F.col("content").alias("c"), "rep"), F.col("grp").eqNullSafe(F.col("g")) & (F.col("content") == F.col("c"))).select("id", "grp", "rep").dropDuplicates(["id"])
     return classes, links.where(F.col("similarity") >= threshold)
 

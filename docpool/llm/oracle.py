@@ -108,6 +108,16 @@ with d as (select doc_id, {_reduced("text")} as t from documents),
 w as (select doc_id, substr(t, n, 20) as run from (select doc_id, t, unnest(range(1, length(t) - 18)) as n from d where length(t) >= 100)),
 s as (select doc_id, (count(*) - count(distinct run)) / count(*) as windows from w group by doc_id)
 select doc_id, coalesce(length(t), 0) as chars, round(coalesce(windows, 0.0), 9) as windows from d left join s using (doc_id)
+""",
+    "p2_classes": r"""
+with f as (select id, trim(regexp_replace(lower(text), '[\s\x{3000}\x{a0}]+', ' ', 'g')) as t from chunks),
+m as (select id, t, min(id) over (partition by t) as rep from f where length(t) >= 200),
+g as (select distinct id, substr(t, n, 5) as s from (select id, t, unnest(range(1, length(t) - 3)) as n from m where id = rep)),
+c as (select id, count(*) as n from g group by id),
+p as (select a.id as a, b.id as b, count(*) as common from g a join g b on a.s = b.s and a.id < b.id group by all),
+l as (select a, b from p join c x on x.id = a join c y on y.id = b where common >= 0.7 * (x.n + y.n - common)),
+e as (select rep, count(*) as links from (select a as rep from l union all select b from l) group by rep)
+select id, rep as class_id, coalesce(links, 0) as links from m left join e using (rep)
 """,
     "p2_found": r"""
 with f as (select id, trim(regexp_replace(lower(text), '[\s\x{3000}\x{a0}]+', ' ', 'g')) as t from chunks),

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -52,6 +53,37 @@ def test_weighted_signature_estimates_probability_jaccard():
     assert nd.prob_min_hash(elements[:0], np.array([0])).tolist() == [[0] * nd.REGISTERS]
 
 
+def by_definition(a, b, size, weights):
+    count = lambda t: Counter(t[i : i + size] for i in range(len(t) - size + 1))
+    x, y = count(a), count(b)
+    if not weights:
+        return len(x.keys() & y.keys()) / max(1, len(x.keys() | y.keys()))
+    return sum(1 / sum(max(x[j] / x[i], y[j] / y[i]) for j in x.keys() | y.keys()) for i in x.keys() & y.keys())
+
+
+def test_similarity_by_definition():
+    rng = random.Random(4)
+    for _ in range(60):
+        a, b = ("".join(rng.choice("ab ") for _ in range(rng.randrange(2, 40))) for _ in "ab")
+        for weights in (False, True):
+            got = nd.similarity(*(nd.weighed(nd.shingles([t], 3)[0]) for t in (a, b)), weights)
+            assert abs(got - by_definition(a, b, 3, weights)) < 1e-9
+
+
+def test_weighted_pairs_against_brute_force(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(30):
+        words = [text(rng, 1) for _ in range(12)]
+        base = rng.choices(words, weights=[1, 1, 1, 1, 2, 2, 9, 9, 9, 9, 9, 9], k=90)
+        rare = {w: text(rng, 1) for w in words[: i % 6]}
+        rows += [(10 * i, " ".join(base), None), (10 * i + 1, " ".join(rare.get(w, w) for w in base), None), (10 * i + 2, " ".join(rng.choices(words, k=70)), None)]
+    folded = {i: nd.folded(t) for i, t, _ in rows}
+    wanted, plain = ({(a, b) for a in folded for b in folded if a < b and b - a < 10 and by_definition(folded[a], folded[b], 5, w) >= 0.7} for w in (True, False))
+    got = pairs(spark, rows, weights=True, threshold=0.7)
+    assert got <= wanted != plain and len(got) >= 0.9 * len(wanted) > 20
+
+
 def test_pairs_against_brute_force(spark):
     rng = random.Random(2)
     rows = []
