@@ -22,8 +22,9 @@ CELL = 64
 TABLES = 14
 #: Decimal places of the cosines that are ranked: scaled copies of a vector are ties, whatever their rounding.
 DIGITS = 6
-#: Query vectors that are held against all rows in one pass.
-QUERY_BLOCK = 8192
+#: Rows that one task holds while queries stream past them, and rows and queries of one product.
+GROUP_ROWS = 65_536
+ROW_TILE, QUERY_TILE = 4096, 1024
 
 
 def quantised(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -198,44 +199,81 @@ def neighbours_above(rows: DataFrame, row_id: str, vector: str, *, dim: int, k:
     return found.withColumn("place", F.row_number().over(row)).where(F.col("place") <= k).select("id", "neighbour", "cosine", "place")
 
 
-def _against(ids: np.ndarray, queries: np.ndarray, dim: int, k: int):
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qa, sa, ea = quantised(queries)
-        heaps: list[list[tuple[float, int]]] = [[] for _ in ids]
-        kth = np.full(len(ids), -2.0)
-        for whole in batches:
-            for start in range(0, whole.num_rows, 2048):
-                batch = whole.slice(start, 2048)
-                other = batch.column(0).to_numpy(zero_copy_only=False)
-                unit = _matrix(batch.column(1), dim)
-                qb, sb, eb = quantised(unit)
-                product, error = tile_bounds(qa, sa, ea, qb, sb, eb)
-                mask = surviving(product, error + 10.0**-DIGITS, k + 1, -2.0) & (product + error >= kth[:, None] - 10.0**-DIGITS)
-                x, y = np.nonzero(mask)
-                cosines = np.round(np.einsum("ij,ij->i", queries[x], unit[y]), DIGITS)
-                for i, j, c in zip(x, other[y], cosines, strict=True):
-                    if j != ids[i]:
-                        item = (float(c), -int(j))
-                        if len(heaps[i]) < k:
-                            heapq.heappush(heaps[i], item)
-                        elif item > heaps[i][0]:
-                            heapq.heapreplace(heaps[i], item)
-                        if len(heaps[i]) == k:
-                            kth[i] = heaps[i][0][0]
-        out = [(int(i), -j, c) for i, heap in zip(ids, heaps, strict=True) for c, j in heap]
+class _Best:
+    """The k best rows of each query so far, as heaps of (cosine, -id)."""
+
+    def __init__(self, ids: np.ndarray, k: int):
+        self.ids, self.k = ids, k
+        self.heaps: list[list[tuple[float, int]]] = [[] for _ in ids]
+        self.least = np.full(len(ids), -2.0)  # the k-th best cosine
+
+    def take(self, x: np.ndarray, other: np.ndarray, cosines: np.ndarray) -> None:
+        """Adds pairs (place of the query, id of the row); of a query's pairs only the k best are put on its heap."""
+        own = other == self.ids[x]
+        x, other, cosines = x[~own], other[~own], cosines[~own]
+        order = np.lexsort((other, -cosines, x))
+        x, other, cosines = x[order], other[order], cosines[order]
+        first = np.searchsorted(x, x, "left")
+        few = np.arange(len(x)) - first < self.k
+        for i, j, c in zip(x[few].tolist(), other[few].tolist(), cosines[few].tolist(), strict=True):
+            heap, item = self.heaps[i], (c, -j)
+            if len(heap) < self.k:
+                heapq.heappush(heap, item)
+            elif item > heap[0]:
+                heapq.heapreplace(heap, item)
+            if len(heap) == self.k:
+                self.least[i] = heap[0][0]
+
+    def batch(self) -> pa.RecordBatch:
+        out = [(int(i), -j, c) for i, heap in zip(self.ids, self.heaps, strict=True) for c, j in heap]
         columns = list(zip(*out, strict=True)) or [()] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["id", "neighbour", "cosine"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["id", "neighbour", "cosine"])
+
+
+def _grid(dim: int, k: int):
+    """Reads rows (grp, asked, id, v) sorted by grp and asked: holds a group's rows, and gives the k best of them for each query."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, parts, tiles = None, [], None
+        for batch in batches:
+            grp, asked, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            cuts = np.nonzero((np.diff(grp) != 0) | (np.diff(asked) != 0))[0] + 1
+            for start, stop in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+                if start == stop:
+                    continue
+                unit = _matrix(batch.column(3).slice(start, stop - start), dim)
+                if grp[start] != group:
+                    group, parts, tiles = grp[start], [], None
+                if not asked[start]:
+                    parts.append((ids[start:stop], unit))
+                    continue
+                if tiles is None:  # the group's rows are all there
+                    whole = (np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])) if parts else (np.zeros(0, np.int64), np.zeros((0, dim)))
+                    tiles = [(whole[0][i : i + ROW_TILE], whole[1][i : i + ROW_TILE], *quantised(whole[1][i : i + ROW_TILE])) for i in range(0, len(whole[0]), ROW_TILE)]
+                    parts = []
+                for at in range(start, stop, QUERY_TILE):
+                    end = min(stop, at + QUERY_TILE)
+                    queries = unit[at - start : end - start]
+                    qa, sa, ea = quantised(queries)
+                    best = _Best(ids[at:end], k)
+                    for other, rows, qb, sb, eb in tiles:
+                        product, error = tile_bounds(qa, sa, ea, qb, sb, eb)
+                        mask = surviving(product, error + 10.0**-DIGITS, k + 1, -2.0) & (product + error >= best.least[:, None] - 10.0**-DIGITS)
+                        x, y = np.nonzero(mask)
+                        best.take(x, other[y], np.round(np.einsum("ij,ij->i", queries[x], rows[y]), DIGITS))
+                    yield best.batch()
 
     return scan
 
 
-def nearest(rows: DataFrame, row_id: str, vector: str, queries: DataFrame, *, dim: int, k: int = 5, block: int = QUERY_BLOCK) -> DataFrame:
+def nearest(rows: DataFrame, row_id: str, vector: str, queries: DataFrame, *, dim: int, k: int = 5, group_rows: int = GROUP_ROWS) -> DataFrame:
     """(id, neighbour, cosine, place): of each query vector the k most similar rows, exactly, ties by id.
 
-    queries holds rows of the same columns; a row is no neighbour of itself. Queries are taken in blocks of at
-    most `block` vectors, the only ones that are sent to the tasks; each block is one pass over all rows,
-    whose tasks keep a heap of k rows for each query and pass only these on. Unusable vectors, on either
-    side, are left out as in neighbours_above; of repeated ids one row counts.
+    queries holds rows of the same columns; a row is no neighbour of itself. Rows are dealt out to groups of about
+    group_rows, each held by one task, past which the queries stream; per query and group the k best rows go
+    on, and are merged. Rows move once and queries once for each group, nothing through the driver, and no task
+    holds more than a group and a batch of queries. Unusable vectors, on either side, are left out as in
+    neighbours_above; of repeated ids one row counts. No rows or no queries give no rows.
     """
 
     def usable(df: DataFrame) -> DataFrame:
@@ -250,23 +288,13 @@ def nearest(rows: DataFrame, row_id: str, vector: str, queries: DataFrame, *, di
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.FixedSizeListArray.from_arrays(pa.array(unit.ravel()), dim).cast(pa.list_(pa.float64()))], names=["id", "v"])
 
     one = usable(rows)
-    if not one.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).isEmpty():
-        one = materialize(one.dropDuplicates(["id"]), "rows")  # copies would fill the heaps; without any, no vector moves
-    every = one.mapInArrow(normal, "id long, v array<double>")
-    asked = usable(queries).mapInArrow(normal, "id long, v array<double>").dropDuplicates(["id"])
-    found = None
-    held: list = []
-
-    def one_pass(block_rows: list) -> DataFrame:
-        ids = np.array([r.id for r in block_rows], np.int64)
-        return every.mapInArrow(_against(ids, np.array([r.v for r in block_rows], np.float64).reshape(-1, dim), dim, k), "id long, neighbour long, cosine double")
-
-    for row in asked.toLocalIterator():
-        held.append(row)
-        if len(held) == block:
-            found, held = (one_pass(held) if found is None else found.unionByName(one_pass(held))), []
-    if held or found is None:
-        found = one_pass(held) if found is None else found.unionByName(one_pass(held))
+    sizes = one.groupBy("id").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("ids"), F.max("n").alias("most")).first()
+    if (sizes["most"] or 0) > 1:
+        one = one.dropDuplicates(["id"])  # copies would fill the heaps; without any, no vector moves for it
+    groups = max(1, -(-sizes["ids"] // group_rows))
+    every = one.mapInArrow(normal, "id long, v array<double>").select(F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("grp"), F.lit(False).alias("asked"), "id", "v")
+    asked = usable(queries).dropDuplicates(["id"]).mapInArrow(normal, "id long, v array<double>").select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"), F.lit(True).alias("asked"), "id", "v")
+    met = every.unionByName(asked).repartition(groups, "grp").sortWithinPartitions("grp", "asked")
+    found = met.mapInArrow(_grid(dim, k), "id long, neighbour long, cosine double")
     best = Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbour")
-    merged = found.groupBy("id", "neighbour").agg(F.max("cosine").alias("cosine"))
-    return merged.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
+    return found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)

@@ -51,6 +51,20 @@ d as (select doc_id, lower(trim(source)) as s, coalesce(n_tokens,
 """
 
 ORACLE = {
+    "p5_ranking": """
+with raw as (select query_id, chunk_id, unnest(['emb', 'lex', 'grep', 'rerank']) as signal,
+       unnest([score_breakdown.emb, score_breakdown.lex, score_breakdown.grep, nullif(score_breakdown.rerank, -1)]) as v from search_results where chunk_id is not null),
+s as (select query_id, chunk_id, signal, max(case when isnan(v) then null else v end) as v from raw group by all),
+r as (select *, rank() over (partition by query_id, signal order by v desc nulls last) as rk from s),
+m as (select query_id, chunk_id, list_sort(list(rk))[2] as median_rank, avg(rk) as mean_rank from r group by all)
+select query_id, chunk_id, row_number() over (partition by query_id order by median_rank, mean_rank, chunk_id) as place, median_rank, mean_rank from m
+""",
+    "p6_nearest": """
+with v as (select id, vector::double[64] as v from chunks where len(vector) = 64 and list_sum(list_transform(vector, lambda x: abs(x))) > 0),
+p as (select a.id as id, b.id as neighbour, array_cosine_similarity(a.v, b.v) as c from v a join v b on a.id <> b.id where a.id % 100 = 0),
+k as (select *, row_number() over (partition by id order by round(c, 6) desc, neighbour) as place from p)
+select id, neighbour, place from k where place <= 5
+""",
     "p7_found": _LIMITED + rf"""
 select id as chunk_id, case when coalesce(list_max(list_transform(regexp_extract_all(t, '(?m)^{_UNIT}(?:\n{_UNIT})*'), lambda x: length(x))), 0) <= n then 'block'
        when list_max(list_transform(string_split(t, chr(10)), lambda x: length(x))) <= n then 'line' else 'char' end as boundary from o

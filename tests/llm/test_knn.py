@@ -61,8 +61,9 @@ def test_many_copies_of_a_vector(spark):
 def test_nearest_is_exact(spark):
     v = clustered(120)
     df = frame(spark, v)
-    got = shown(knn.nearest(df, "id", "v", df.where("id % 10 = 0"), dim=64, k=5, block=7))
+    got = shown(knn.nearest(df, "id", "v", df.where("id % 10 = 0"), dim=64, k=5, group_rows=40))
     assert got == best(v, 5, queries=range(0, len(v), 10))
+    assert shown(knn.nearest(df, "id", "v", df.where("id % 10 = 0"), dim=64, k=5)) == got
 
 
 def test_nearest_with_repeated_ids(spark):
