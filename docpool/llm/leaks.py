@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docpool.functions.storage import materialize
 from docpool.llm._text import reduced, slices
 
 MIN_RUN = 40
@@ -92,21 +93,11 @@ def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: st
     give their longest run. Extra columns are not read. No documents or no items give no rows.
 
     The items are a test set: they are brought to the driver in blocks of at most pass_chars reduced
-    characters, each block one automaton and one pass over the documents, so memory has a bound at any
-    number of items. Documents are scanned where they lie; only findings are shuffled.
+    characters (or a single item), each block one automaton and one pass over the documents. If there are several, each
+    pass is written before the next block is read, so the driver and the tasks hold one block at any number of items.
+    Documents are scanned where they lie; only findings are shuffled.
     """
     read = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.length("text") >= F.lit(1))
-    blocks: list[list[tuple[int, str]]] = [[]]
-    held = 0
-    for row in items.select(F.col(item_id).cast("long"), F.col(item_text)).where(F.col(item_text).isNotNull()).distinct().toLocalIterator():
-        small = reduced(row[1])
-        if len(small) < min_run:
-            continue
-        if held + len(small) > pass_chars and blocks[-1]:
-            blocks.append([])
-            held = 0
-        blocks[-1].append((row[0], small))
-        held += len(small)
 
     def scan(block: list[tuple[int, str]]):
         numbered = sorted(set(block))  # rows of one id with different texts are apart here
@@ -128,8 +119,20 @@ def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: st
 
         return read.mapInArrow(of, "doc_id long, item_id long, run long, doc_start long, doc_end long, item_share double")
 
-    found = scan(blocks[0])
-    for block in blocks[1:]:
-        found = found.unionByName(scan(block))
+    written: list[DataFrame] = []
+    block: list[tuple[int, str]] = []
+    held = 0
+    for row in items.select(F.col(item_id).cast("long"), F.col(item_text)).where(F.col(item_text).isNotNull()).distinct().toLocalIterator():
+        small = reduced(row[1])
+        if len(small) < min_run:
+            continue
+        if block and held + len(small) > pass_chars:
+            written.append(materialize(scan(block), "leaks"))
+            block, held = [], 0
+        block.append((row[0], small))
+        held += len(small)
+    found = scan(block)
+    for part in written:
+        found = found.unionByName(part)
     longest = F.max(F.struct("run", -F.col("doc_start"), -F.col("doc_end"), "item_share")).alias("b")
     return found.groupBy("doc_id", "item_id").agg(longest).select("doc_id", "item_id", "b.run", (-F.col("b.col2")).alias("doc_start"), (-F.col("b.col3")).alias("doc_end"), "b.item_share")

@@ -111,6 +111,17 @@ with d as (select doc_id, {_reduced("text")} as t from documents), i as (select
 w as (select item_id, substr(t, n, 40) as run from (select item_id, t, unnest(range(1, length(t) - 38)) as n from i)),
 x as (select doc_id, substr(t, n, 40) as run from (select doc_id, t, unnest(range(1, length(t) - 38)) as n from d))
 select distinct doc_id, item_id from x join w using (run)
+""",
+    "p9_passages": f"""
+with d as (select doc_id, {_reduced("text")} as t, list_filter(range(1, length(text) + 1), lambda k: regexp_matches({_plain("text[k]")}, '[\\p{{L}}\\p{{N}}]')) as place from documents),
+i as (select item_id, {_reduced("text")} as t from eval_items),
+w as (select item_id, n, substr(t, n, 40) as run from (select item_id, t, unnest(range(1, length(t) - 38)) as n from i)),
+x as (select doc_id, n, substr(t, n, 40) as run from (select doc_id, t, unnest(range(1, length(t) - 38)) as n from d)),
+m as (select doc_id, item_id, x.n as a, x.n - w.n as diagonal from x join w using (run)),
+g as (select *, a - row_number() over (partition by doc_id, item_id, diagonal order by a) as island from m),
+r as (select doc_id, item_id, min(a) as a, count(*) + 39 as run from g group by doc_id, item_id, diagonal, island),
+b as (select *, row_number() over (partition by doc_id, item_id order by run desc, a) as n from r)
+select doc_id, item_id, run, place[a] - 1 as doc_start, place[a + run - 1] as doc_end, round(run / length(i.t), 6) as item_share from b join d using (doc_id) join i using (item_id) where n = 1
 """,
     "p10_found": f"""
 with d as (select doc_id, {_reduced("text")} as t from documents),
