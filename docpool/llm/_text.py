@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 _NO_LETTER_OR_DIGIT = re.compile(r"[\W_]+")
+_OTHER_ASCII = bytes(c for c in range(128) if not chr(c).isalnum())
 
 
 def compat_lower(text: str) -> str:
@@ -21,6 +22,8 @@ def compat_lower(text: str) -> str:
 
 def reduced(text: str) -> str:
     """NFKC, lower case, and nothing but letters and digits."""
+    if text.isascii():
+        return text.lower().encode("ascii").translate(None, _OTHER_ASCII).decode("ascii")
     return _NO_LETTER_OR_DIGIT.sub("", compat_lower(text))
 
 

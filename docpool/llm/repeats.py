@@ -18,8 +18,6 @@ WINDOW = 20
 MIN_CHARS = 100
 #: Shares from which a document counts as mostly repetition, by rule.
 LIMITS = {"windows": 0.3, "lines": 0.3, "paragraphs": 0.3, "top_word": 0.4}
-#: Characters of the short substrings whose number bounds that of the windows.
-GRAM = 6
 #: Bytes of text that are measured at once.
 _SLICE = 1_000_000
 
@@ -65,15 +63,6 @@ def hashed(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
     return _mix(whole[place]), counts
 
 
-def least_distinct(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """For each text a lower bound of its number of distinct hashes: the bits they set in a map of four bits or more for each."""
-    size = np.int64(1) << np.ceil(np.log2(4 * np.maximum(counts, 1))).astype(np.int64)
-    base = np.cumsum(size) - size
-    bits = np.zeros(int(size.sum()), np.uint8)
-    bits[np.repeat(base, counts) + (hashes & np.repeat(size - 1, counts).astype(_U)).astype(np.int64)] = 1
-    return np.add.reduceat(bits, base, dtype=np.int64) if len(base) else np.zeros(0, np.int64)
-
-
 def window_shares(texts: list[str], size: int = WINDOW) -> np.ndarray:
     """Of each reduced text the share of its windows of `size` characters that equal an earlier one."""
     hashes, counts = hashed(texts, size)
@@ -85,15 +74,21 @@ def window_shares(texts: list[str], size: int = WINDOW) -> np.ndarray:
     return out
 
 
-def _most(size: int) -> Callable[[list[str]], np.ndarray]:
-    """An upper bound of the share of repeated windows, from the distinct substrings of `size` characters at their starts."""
-
-    def bound(texts: list[str]) -> np.ndarray:
-        windows = np.maximum(np.fromiter(map(len, texts), np.int64, len(texts)) - WINDOW + 1, 0)
-        hashes, counts = hashed([t[: n + size - 1] if n else "" for t, n in zip(texts, windows, strict=True)], size)
-        return np.where(windows > 0, 1 - least_distinct(hashes, counts) / np.maximum(windows, 1), 0.0)
+def most_repeated(texts: list[str]) -> np.ndarray:
+    """Upper bounds of these shares: windows that differ in their first eight bytes, as UTF-8, are different.
 
-    return bound
+    The bytes are read as numbers where they lie, so nothing is hashed.
+    """
+    out = np.zeros(len(texts))
+    for i, text in enumerate(texts):
+        n = len(text) - WINDOW + 1
+        if n > 0:
+            raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+            words = np.lib.stride_tricks.as_strided(raw[: 8 * (len(raw) // 8)].view(_U), (len(raw) - 7,), (1,))
+            starts = words[:n] if len(raw) == len(text) else words[np.nonzero((raw & 0xC0) != 0x80)[0][:n]]
+            h = np.sort(starts)
+            out[i] = float((h[1:] == h[:-1]).sum()) / n
+    return out
 
 
 @dataclass(frozen=True)
@@ -107,9 +102,8 @@ class Rule:
 #: Tests of a reduced text, each of which clears it if the value is below the limit: upper bounds of its share, and the share.
 CLEARING = {
     "length": Rule(lambda ts: np.array([float(len(t) >= MIN_CHARS) for t in ts]), lambda n: 1),
-    "grams": Rule(_most(GRAM), lambda n: n * (steps(GRAM) + 4)),
-    "marks": Rule(_most(WINDOW), lambda n: n * (steps(WINDOW) + 4)),
-    "windows": Rule(window_shares, lambda n: n * (steps(WINDOW) + 2 + 2 * math.log2(n + 1))),
+    "bytes": Rule(most_repeated, lambda n: n * (2 + math.log2(n + 1) / 2)),
+    "windows": Rule(window_shares, lambda n: n * (2 * steps(WINDOW) + 6 + math.log2(n + 1) / 2)),
 }
 
 
@@ -133,8 +127,7 @@ def repeated_documents(docs: DataFrame, doc_id: str, text: str, *, limit: float
     """(doc_id, chars, share): documents of MIN_CHARS reduced characters or more whose share of repeated windows is `limit` or more.
 
     A cascade of tests (CLEARING), each of which clears documents for good: too short, or an upper bound of the share is
-    below the limit (windows that start with different substrings differ, and a map of bits counts these without
-    sorting), or at last the share itself is. The order comes from a sample of at most sample_rows texts (those
+    below the limit, or at last the share itself is. The order comes from a sample of at most sample_rows texts (those
     with the smallest hash of the id): texts cleared per step of each test, greatest first. A document goes through the
     tests until one clears it, so the order changes the work, never the rows. If the exact test is not last, those after
     it are left out.
@@ -195,7 +188,7 @@ def _each(share: Callable[[str], float]) -> Callable[[list[str]], np.ndarray]:
 
 #: Shares of a whole text, each of which rejects it as mostly repetition from its limit on.
 RULES = {
-    "windows": Rule(_windows, lambda n: n * (steps(WINDOW) + 4 + 2 * math.log2(n + 1))),
+    "windows": Rule(_windows, lambda n: n * (2 * steps(WINDOW) + 16 + math.log2(n + 1) / 2)),
     "lines": Rule(_each(lines_share), lambda n: 2 * n),
     "paragraphs": Rule(_each(paragraphs_share), lambda n: 3 * n),
     "top_word": Rule(_each(top_word_share), lambda n: 4 * n),

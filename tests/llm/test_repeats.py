@@ -29,8 +29,8 @@ def test_window_share(size):
         text = "".join(rng.choice("abé文 ,1") for _ in range(n)) * rng.choice([1, 2])
         small = reduced(text)
         assert rp.window_shares([small, "", small], size) == pytest.approx([share(text, size)[1], 0, share(text, size)[1]])
-        hashes, counts = rp.hashed(["", small], size)
-        assert rp.least_distinct(hashes, counts)[1] <= len(set(hashes.tolist())) == len({small[i : i + size] for i in range(len(small) - size + 1)})
+        hashes, _ = rp.hashed(["", small], size)
+        assert len(set(hashes.tolist())) == len({small[i : i + size] for i in range(len(small) - size + 1)})
 
 
 def test_documents(spark):
@@ -78,10 +78,11 @@ def test_cheap_bounds_spare_the_exact_test():
     rng = random.Random(3)
     plain = ["".join(rng.choice("abcdefghijklmnop") for _ in range(400)) for _ in range(50)]
     order = rp.ordered(rp.CLEARING, plain, lambda name, values: values < (1 if name == "length" else 0.3))
-    assert order[0] in ("grams", "marks") and order.index("windows") > 0
-    for name in ("grams", "marks"):
-        bound, exact = rp.CLEARING[name].measure(plain + ["x" * 500]), rp.window_shares(plain + ["x" * 500])
-        assert (bound >= exact).all() and (bound[:-1] < 0.3).all()
+    assert order.index("bytes") < order.index("windows")
+    rows = [*plain, "x" * 500, *("".join(rng.choice(k) for _ in range(n)) for k in ("ab", "é文a", "文") for n in (19, 20, 21, 300))]
+    bound, exact = rp.most_repeated(rows), rp.window_shares(rows)
+    assert (bound >= exact).all() and (bound[:50] < 0.3).all()
+    assert bound[50] == exact[50] > 0.9
 
 
 def test_cascade_order_follows_the_sample():
