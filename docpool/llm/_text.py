@@ -47,11 +47,17 @@ def slices(batches: Iterator[pa.RecordBatch], text: int, chars: int = 4_000_000)
 
 
 def sampled(rows: DataFrame, row_id: str, limit: int) -> list[Row]:
-    """The rows of the `limit` ids with the smallest hashes, `limit` rows at most.
+    """The `limit` rows of the ids with the smallest hashes.
 
-    Only ids are sorted; the tasks send the driver no other row than those of the sample.
+    The number of rows says below which hash about a fifth more than `limit` rows lie; only these are sorted and may
+    reach the driver. If they are too few, as few ids have most of the rows, all are sorted.
     """
     if limit <= 0:
         return []
-    ids = [r[0] for r in rows.select(row_id).where(F.col(row_id).isNotNull()).orderBy(F.xxhash64(row_id), row_id).limit(limit).collect()]
-    return rows.where(F.col(row_id).isin(ids)).limit(limit).collect() if ids else []
+    known, hashed = rows.where(F.col(row_id).isNotNull()), F.xxhash64(row_id)
+    share = 1.2 * (limit + 100) / max(1, rows.count())
+    if share < 1:
+        found = known.where(hashed < F.lit(int(share * 2**64) - 2**63)).orderBy(hashed, row_id).limit(limit).collect()
+        if len(found) == limit:
+            return found
+    return known.orderBy(hashed, row_id).limit(limit).collect()

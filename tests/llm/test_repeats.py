@@ -1,9 +1,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from docpool.llm import repeats as rp
-from docpool.llm._text import reduced
+from docpool.llm._text import reduced, sampled
 
 ROW = "doc_id long, text string, chars string, rule int"
 
@@ -104,3 +105,12 @@ def test_repeats_and_none(spark):
     df = spark.createDataFrame([(1, "x", "c", 1), (1, "x", "c", 1)], ROW)
     assert rp.repetition(df, "doc_id", "text").count() == 2
     assert found(spark, []) == {}
+
+
+def test_samples_are_the_smallest_hashes(spark):
+    rows = spark.range(3000).select(F.col("id"), F.lit("x").alias("t"))
+    wanted = [r.id for r in rows.orderBy(F.xxhash64("id"), "id").limit(50).collect()]
+    assert [r.id for r in sampled(rows, "id", 50)] == wanted
+    assert len(sampled(rows, "id", 5000)) == 3000 and sampled(rows, "id", 0) == []
+    same = rows.select(F.lit(7).alias("id"), "t").unionByName(rows.select(F.lit(None).cast("int").alias("id"), "t"))
+    assert len(sampled(same, "id", 50)) == 50
