@@ -27,16 +27,22 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _sections(content: Column, lines: Column, heads: Column, marks: Column) -> Column:
-    def path(k: Column) -> Column:
-        empty = F.filter(heads, lambda h: F.lit(False))
-        open_ = F.aggregate(F.slice(heads, 1, k), empty, lambda stack, h: F.concat(F.filter(stack, lambda x: x["level"] < h["level"]), F.array(h)))
-        return F.array_join(F.transform(open_, lambda h: h["title"]), " > ")
+def _paths(heads: Column) -> Column:
+    """The heading path at each heading, in one pass that carries the headings still open."""
+    none = F.struct(F.filter(heads, lambda h: F.lit(False)).alias("open"), F.array().cast("array<string>").alias("paths"))
 
+    def step(a: Column, h: Column) -> Column:
+        after = lambda s: F.struct(s.alias("open"), F.concat(a["paths"], F.array(F.array_join(F.transform(s, lambda x: x["title"]), " > "))).alias("paths"))
+        return let(F.concat(F.filter(a["open"], lambda x: x["level"] < h["level"]), F.array(h)), after)
+
+    return F.aggregate(heads, none, step)["paths"]
+
+
+def _sections(content: Column, lines: Column, paths: Column, marks: Column) -> Column:
     def section(head: Column, k: Column) -> Column:
         end = F.coalesce(F.get(marks, k + 1)["n"], F.size(lines))
         text = F.regexp_replace(F.array_join(F.slice(lines, head["n"] + 1, end - head["n"]), "\n"), r"\n+$", "")
-        return F.struct(path(k).alias("heading_path"), text.alias("text"))
+        return F.struct(F.coalesce(F.get(paths, k - 1), F.lit("")).alias("heading_path"), text.alias("text"))
 
     whole = F.array(F.struct(F.lit("").alias("heading_path"), content.alias("text")))
     return let(F.filter(F.transform(marks, section), lambda s: s["text"] != ""), lambda found: F.when(F.size(found) > 0, found).otherwise(whole))
@@ -48,7 +54,7 @@ def sections(content: Column) -> Column:
     head = lambda line, i: F.struct(i.alias("n"), level(line).alias("level"), F.when(line.startswith("#"), trim_space(F.regexp_replace(line, "^#+", ""))).otherwise("").alias("title"))
     start = F.array(F.struct(F.lit(0).alias("n"), F.lit(0).alias("level"), F.lit("").alias("title")))
     heads = lambda lines: F.filter(F.transform(lines, head), lambda h: h["level"] > 0)
-    return let(F.split(content, "\n"), lambda lines: let(heads(lines), lambda found: let(F.concat(start, found), lambda marks: _sections(content, lines, found, marks))))
+    return let(F.split(content, "\n"), lambda lines: let(heads(lines), lambda found: let(_paths(found), lambda paths: let(F.concat(start, found), lambda marks: _sections(content, lines, paths, marks)))))
 
 
 def chunks(content: Column, max_size: int) -> Column:
@@ -71,17 +77,19 @@ def prose(text: Column) -> Column:
 
 def embedded(pieces: Column) -> Column:
     """pieces with embed_text: the heading path and the prose, if short that of the nearest chunk before with enough."""
+    none = F.struct(F.lit(None).cast("string").alias("last"), F.array().cast("array<struct<heading_path:string,text:string,embed_text:string>>").alias("out"))
 
-    def embed(c: Column, k: Column, proses: Column) -> Column:
-        own = F.get(proses, k)
-        earlier = F.filter(F.slice(proses, 1, k), lambda p: F.length(p) >= SHORT_PROSE)
-        body = F.when(F.length(own) >= SHORT_PROSE, own).otherwise(F.coalesce(F.element_at(earlier, F.when(F.size(earlier) > 0, -1)), own))
+    def step(a: Column, c: Column) -> Column:
         path = c["heading_path"]
-        text = let(body, lambda b: F.when((path != "") & (b != ""), F.concat(path, F.lit("\n\n"), b)).when(path != "", path).when(b != "", b).otherwise(c["text"]))
-        return F.struct(path.alias("heading_path"), c["text"].alias("text"), text.alias("embed_text"))
 
-    proses = lambda p: F.transform(p, lambda c: prose(c["text"]))
-    return let(pieces, lambda p: let(proses(p), lambda q: F.transform(p, lambda c, k: embed(c, k, q))))
+        def added(own: Column, body: Column) -> Column:
+            text = F.when((path != "") & (body != ""), F.concat(path, F.lit("\n\n"), body)).when(path != "", path).when(body != "", body).otherwise(c["text"])
+            piece = F.struct(path.alias("heading_path"), c["text"].alias("text"), text.alias("embed_text"))
+            return F.struct(F.when(F.length(own) >= SHORT_PROSE, own).otherwise(a["last"]).alias("last"), F.concat(a["out"], F.array(piece)).alias("out"))
+
+        return let(prose(c["text"]), lambda own: let(F.when(F.length(own) >= SHORT_PROSE, own).otherwise(F.coalesce(a["last"], own)), lambda body: added(own, body)))
+
+    return F.aggregate(pieces, none, step)["out"]
 
 
 def chunk_documents(docs: DataFrame, content: str, max_size: int = DEFAULT_SIZE) -> DataFrame:

@@ -55,16 +55,84 @@ def reciprocal_ranks(scored: DataFrame, by: list[str]) -> DataFrame:
     return both.withColumn("rrf", F.when(F.col("fallback"), F.col("emb")).otherwise(one("re") + F.when(F.col("rl").isNotNull(), one("rl")).otherwise(0.0))).drop("rl")
 
 
+def _numbers_ahead(scored: DataFrame, wanted: dict[str, list[tuple[float, int]]]) -> dict[str, dict[int, int]]:
+    """For each score and each (value, chunk_id) asked for, how many rows stand before it; one pass, with sums in the tasks.
+
+    The few rows asked for cut the order into parts; a search by halves, as an expression, says in which part a row lies.
+    """
+    places = {}
+    for s, rows in wanted.items():
+        marks = sorted(rows, key=lambda r: (-r[0], r[1]))
+
+        def part(lo: int, hi: int, s: str = s, marks: list = marks) -> Column:
+            if lo == hi:
+                return F.lit(lo)
+            mid = (lo + hi) // 2
+            value, chunk = marks[mid]
+            ahead = (F.col(s) > value) | ((F.col(s) == value) & (F.col("chunk_id") < chunk))
+            return F.when(ahead, part(lo, mid)).otherwise(part(mid + 1, hi))
+
+        places[s] = (marks, part(0, len(marks)))
+    names = list(wanted)
+    counts = scored.select(*[places[s][1].alias(f"p_{s}") for s in names]).groupBy(*[f"p_{s}" for s in names]).agg(F.count(F.lit(1)).alias("n")).collect()
+    out: dict[str, dict[int, int]] = {}
+    for s in names:
+        by_part = [0] * (len(places[s][0]) + 1)
+        for r in counts:
+            by_part[r[f"p_{s}"]] += r.n
+        out[s] = {chunk: sum(by_part[: i + 1]) for i, (_, chunk) in enumerate(places[s][0])}
+    return out
+
+
+def _hybrid_of_one(scored: DataFrame, n: int, guarantee: int) -> DataFrame:
+    """hybrid for a single query: the ranks of a few rows decide, so the rows are not sorted.
+
+    A row that is neither among the first 60 + 2m by emb nor by lex has a score below 1 / (60 + m), which the first m by
+    emb have at least. So only those rows, at most twice as many, come to the driver; their ranks in the other
+    score are counted.
+    """
+    most = max(n, guarantee)
+    found = hits(scored, []).first()
+    fallback = found.emb_candidates > 0 and found.lex_candidates / found.emb_candidates < FALLBACK_RATIO
+    reach = most if fallback else RRF_K + 2 * most + 1
+    rows = {r.chunk_id: r.asDict() for r in top(scored, [], "emb", reach, "re").collect()}
+    if not fallback:
+        for r in top(scored.where(F.col("lex") > 0), [], "lex", reach, "rl").collect():
+            rows.setdefault(r.chunk_id, r.asDict())["rl"] = r.rl
+        wanted = {"emb": [(r["emb"], i) for i, r in rows.items() if "re" not in r], "lex": [(r["lex"], i) for i, r in rows.items() if "rl" not in r and r["lex"] > 0]}
+        if any(wanted.values()):
+            ahead = _numbers_ahead(scored, {s: w for s, w in wanted.items() if w})
+            for s, rank in (("emb", "re"), ("lex", "rl")):
+                for i, before in ahead.get(s, {}).items():
+                    rows[i][rank] = before + 1
+    for r in rows.values():
+        r["fallback"] = fallback
+        r["rrf"] = r["emb"] if fallback else 1.0 / (RRF_K + r["re"]) + (1.0 / (RRF_K + r["rl"]) if r.get("rl") else 0.0)
+    fused = sorted(rows.values(), key=lambda r: (-r["rrf"], r["chunk_id"]))
+    first = fused[:guarantee]
+    threshold = max((r["rrf"] for r in first if r["re"] > guarantee), default=None)
+    for r in fused[guarantee:]:
+        if not fallback and r["re"] <= guarantee and threshold is not None:
+            r["rrf"] = threshold + (guarantee + 1 - r["re"]) * 1e-9
+    shown = sorted(fused, key=lambda r: (-r["rrf"], r["chunk_id"]))[:n]
+    schema = scored.select("*", F.lit(True).alias("fallback"), F.lit(0.0).alias("rrf"), F.lit(0).alias("place")).schema
+    return scored.sparkSession.createDataFrame([tuple((*(r[c] for c in scored.columns), fallback, r["rrf"], i + 1)) for i, r in enumerate(shown)], schema)
+
+
 def hybrid(scored: DataFrame, by: list[str], n: int = DEFAULT_TOP, guarantee: int = GUARANTEE) -> DataFrame:
-    """The n best chunks of each query by reciprocal ranks, with place; the best by emb come before what displaced them."""
+    """The n best chunks of each query by reciprocal ranks, with place; the best by emb come before what displaced them.
+
+    Of a single query's rows, which are read four times, only the scores should be held.
+    """
     n = n if n > 0 else DEFAULT_TOP
+    if not by:
+        return _hybrid_of_one(scored, n, guarantee)
     ranked = reciprocal_ranks(scored, by)
     fused = top(ranked, by, "rrf", max(n, guarantee), "rf")
     best = ranked.where(F.col("re") <= guarantee).withColumn("rf", F.lit(None).cast("int"))
     columns = [c for c in ranked.columns if c not in (*by, "chunk_id")]
     few = fused.unionByName(best).groupBy(*by, "chunk_id").agg(*[F.first(c).alias(c) for c in columns], F.max("rf").alias("rf"))
-    intruder = F.max(F.when((F.col("rf") <= guarantee) & (F.col("re") > guarantee), F.col("rrf"))).alias("threshold")
-    few = _with(few, few.groupBy(*by).agg(intruder) if by else few.agg(intruder), by)
+    few = few.join(few.groupBy(*by).agg(F.max(F.when((F.col("rf") <= guarantee) & (F.col("re") > guarantee), F.col("rrf"))).alias("threshold")), by)
     outside = F.col("rf").isNull() | (F.col("rf") > guarantee)
     raised = ~F.col("fallback") & (F.col("re") <= guarantee) & outside & F.col("threshold").isNotNull()
     score = F.when(raised, F.col("threshold") + (guarantee + 1 - F.col("re")) * F.lit(1e-9)).otherwise(F.col("rrf"))

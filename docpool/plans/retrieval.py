@@ -11,9 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docpool.functions.storage import materialize
 from docpool.functions.text import norm_text, normalise_content, content_hash, substring_count, tokens
 from docpool.operators.chunker import chunk_documents, oversized_line, prose
-from docpool.operators.fusion import hits, hybrid, merge_order, merge_signals, reciprocal_ranks, signal_list, top
+from docpool.operators.fusion import SIGNAL_CAP, hits, hybrid, merge_order, merge_signals, reciprocal_ranks, signal_list, top
 from docpool.operators.rerank import blend, candidate_count
 from docpool.operators.retrieval import scan, search, search_batch
 from docpool.operators.signals import score, score_batch
@@ -127,7 +128,7 @@ def hybrid_rrf(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _hybrid(spark: SparkSession, folder: str, query: str) -> DataFrame:
-    found = hybrid(_scored(spark, folder, query, ("emb", "lex")), [], TOP)
+    found = hybrid(materialize(_scored(spark, folder, query, ("emb", "lex")), "scores"), [], TOP)
     signals = F.array_join(signal_list(F.col("emb") > 0, F.col("lex") > 0, F.lit(False)), ",")
     return found.select("place", "chunk_id", F.round("rrf", 6).alias("rrf"), signals.alias("origin_signals"))
 
@@ -150,16 +151,16 @@ def stage_stats(spark: SparkSession, folder: str) -> DataFrame:
     return hits(_scored(spark, folder), [])
 
 
-def _batch(spark: SparkSession, folder: str) -> DataFrame:
+def _batch(spark: SparkSession, folder: str, cap: int | None = None) -> DataFrame:
     """Every logged query against all chunks of its key; its vector is that of its first chunk with one."""
     asked = table(spark, folder, "search_results").groupBy("query_id").agg(F.min("key").alias("key"), F.min("query_text").alias("query"), F.min("chunk_id").alias("chunk_id"))
     chunks = table(spark, folder, "chunks")
     vectors = chunks.select(F.col("id").alias("chunk_id"), "vector")
-    return score_batch(chunks, asked.join(vectors, "chunk_id", "left"))
+    return score_batch(chunks, asked.join(vectors, "chunk_id", "left"), cap)
 
 
 def merge_all_batch(spark: SparkSession, folder: str) -> DataFrame:
-    return search_batch(_batch(spark, folder), "all", TOP).select("query_id", "place", "chunk_id", F.array_join("origin_signals", ",").alias("origin_signals"))
+    return search_batch(_batch(spark, folder, max(TOP, SIGNAL_CAP)), "all", TOP).select("query_id", "place", "chunk_id", F.array_join("origin_signals", ",").alias("origin_signals"))
 
 
 def hybrid_batch(spark: SparkSession, folder: str) -> DataFrame:
