@@ -112,56 +112,85 @@ def clean_other_series(state: State, kept: DataFrame) -> State:
     return _without(replace(state, series_keys=links), gone)
 
 
+def _events(state: State, docs: DataFrame) -> DataFrame:
+    """docs (key, series, path, pos, content_hash, record_id) with round, last and known: what each finds when its turn comes.
+
+    The documents of a series' path have rounds 1, 2.. in order of pos; a round takes effect on all series at once. Before
+    it, a path has the contents that its series hold: that of the round before, of a series with fewer rounds its last, of
+    one without documents here what it held from the start. All other records of the path are gone by then, but
+    in the first round, which finds every record of the path.
+    """
+    turn = Window.partitionBy("key", "series", "path")
+    events = docs.select("key", "series", "path", "pos", "content_hash", "record_id", F.row_number().over(turn.orderBy("pos")).alias("round"), F.count(F.lit(1)).over(turn).alias("_n"))
+    events = materialize(events.withColumn("last", F.col("round") == F.col("_n")).drop("_n"), "events")
+    content = ["key", "path", "content_hash"]
+    before = events.select(*content, (F.col("round") + 1).alias("round"), F.lit(True).alias("_before")).distinct()
+    ended = events.where("last").groupBy(*content).agg(F.min("round").alias("_ended"))
+    taking_part = events.select("key", "path", "series").distinct()
+    held = state.series_keys.join(state.records.select(F.col("id").alias("record_id"), *content), "record_id").join(taking_part.select("key", "path").distinct(), ["key", "path"], "left_semi")
+    idle = held.join(taking_part, ["key", "path", "series"], "left_anti").select(*content, F.lit(True).alias("_idle")).distinct()
+    seen = events.join(before, [*content, "round"], "left").join(ended, content, "left").join(idle, content, "left")
+    known = (F.col("round") == 1) & F.col("record_id").isNotNull() | F.col("_before").isNotNull() | F.coalesce(F.col("_ended") < F.col("round"), F.lit(False)) | F.col("_idle").isNotNull()
+    return materialize(seen.withColumn("known", known).drop("_before", "_ended", "_idle"), "seen")
+
+
 def upsert(state: State, docs: DataFrame, now: datetime, embedder: Embedder, max_size: int = DEFAULT_SIZE) -> tuple[State, DataFrame]:
     """Stores documents; docs (key, series, pos, path, content, error). Gives the outcomes (key, series, pos, path, outcome, error, skipped_chunks).
 
     A content that is known for its key and path is only linked (`skipped`): no chunking, no embedding. New content
     is chunked and embedded (`processed`), its record replaces the path's others in the series. What can't be
-    stored is `failed`. Documents of one path take effect in order of pos, a round for each.
+    stored is `failed`. Documents of one path take effect one after the other, in order of pos; how each finds the path
+    follows from joins (_events), so the number of jobs does not depend on the number of a path's documents.
     """
-    nth = F.row_number().over(Window.partitionBy("key", "series", "path").orderBy("pos"))
     read = docs.withColumn("content", normalise_content(F.col("content")))
     problem = F.coalesce(F.col("error"), F.when(F.coalesce(F.col("path"), F.lit("")) == "", "a path is required"), F.when(F.col("content").isNull(), "no content"))
-    read = read.withColumn("content_hash", content_hash(F.col("content"))).withColumn("error", problem).withColumn("round", nth)
+    read = read.withColumn("content_hash", content_hash(F.col("content"))).withColumn("error", problem)
     read = materialize(read.withColumn("oversized", F.coalesce(oversized_line(F.col("content")), F.lit(False))), "documents")
-    failed = read.where(F.col("error").isNotNull())
-    outcomes = failed.select("key", "series", "pos", "path", F.lit("failed").alias("outcome"), "error", F.lit(0).cast("long").alias("skipped_chunks"))
-    good = read.where(F.col("error").isNull())
-    rounds = good.agg(F.max("round")).first()[0] or 0
-    for i in range(1, rounds + 1):
-        found = materialize(find_records(state.records, good.where(F.col("round") == i)), "round")
-        known = found.where(F.col("record_id").isNotNull())
-        refused = found.where(F.col("record_id").isNull() & F.col("oversized"))
-        fresh = found.where(F.col("record_id").isNull() & ~F.col("oversized")).drop("record_id")
-        last = state.records.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-        numbered = salted_row_number(fresh.select("key", "path", "content_hash", "content").dropDuplicates(["key", "path", "content_hash"]), [], ["key", "path", "content_hash"], "n")
-        made = materialize(numbered.withColumn("record_id", F.col("n") + last + 1).drop("n"), "records")
-        chunks = chunk_documents(made.select("record_id", "content"), "content", max_size)
-        last_chunk = _plus(state.chunks, state.new_chunks).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-        chunks = salted_row_number(chunks, [], ["record_id", "chunk_index"], "n").withColumn("id", F.col("n") + last_chunk + 1).drop("n")
-        vectors = materialize(with_vectors(chunks, embedder), "vectors")
-        records = made.select(F.col("record_id").alias("id"), "key", "path", "content_hash", at(now).alias("created_at"), at(now).alias("updated_at"))
-        new = fresh.join(made.select("key", "path", "content_hash", "record_id"), ["key", "path", "content_hash"])
-        kept = known.select("key", "path", "series", "record_id").unionByName(new.select("key", "path", "series", "record_id"))
-        stored = vectors.where(F.size("vector") > 0)
-        state = replace(
-            state,
-            records=state.records.unionByName(records),
-            new_chunks=_plus(vectors.select(*state.chunks.columns), state.new_chunks),
-            new_embeddings=_plus(stored.select(F.col("id").alias("chunk_id"), "vector", F.size("vector").alias("dim")), state.new_embeddings),
-        )
-        kept = materialize(kept, "kept")
-        state = append_series(state, kept)
-        state = clean_other_series(replace(state, series_keys=materialize(state.series_keys, "links")), kept)
-        lost = vectors.where(F.col("embed_error").isNotNull()).groupBy("record_id").agg(F.count(F.lit(1)).alias("skipped_chunks"), F.first("embed_error").alias("embed_error"))
-        done = new.join(lost, "record_id", "left").select("key", "series", "pos", "path", F.lit("processed").alias("outcome"), F.col("embed_error").alias("error"), F.coalesce("skipped_chunks", F.lit(0)).alias("skipped_chunks"))
-        said = lambda df, outcome, error: df.select("key", "series", "pos", "path", F.lit(outcome).alias("outcome"), F.lit(error).cast("string").alias("error"), F.lit(0).cast("long").alias("skipped_chunks"))
-        outcomes = outcomes.unionByName(done).unionByName(said(known, "skipped", None)).unionByName(said(refused, "failed", "a line is too long"))
-        touched = new.select("key").distinct()
-        rows = touched.join(state.keys, "key", "left_anti").select("key", F.lit(0).cast("long").alias("doc_count"), at(now).alias("last_accessed_at"), at(now).alias("last_updated_at"), F.lit(None).cast("timestamp").alias("trashed_at"))
-        keys = state.keys.join(touched.withColumn("_new", F.lit(True)), "key", "left").withColumn("last_updated_at", F.when(F.col("_new"), at(now)).otherwise(F.col("last_updated_at"))).select(state.keys.columns)
-        state = settled(replace(state, keys=document_counts(keys.unionByName(rows), state.records, touched)))
-    return state, outcomes
+    content = ["key", "path", "content_hash"]
+    good = find_records(state.records, read.where(F.col("error").isNull()).select("key", "series", "pos", "path", "content_hash", "oversized"))
+    refused = F.col("record_id").isNull() & F.col("oversized")
+    events = _events(state, good.where(~refused))
+    said = lambda df, outcome, error: df.select("key", "series", "pos", "path", F.lit(outcome).alias("outcome"), error.cast("string").alias("error"), F.lit(0).cast("long").alias("skipped_chunks"))
+    outcomes = said(read.where(F.col("error").isNotNull()), "failed", F.col("error")).unionByName(said(good.where(refused), "failed", F.lit("a line is too long")))
+    outcomes = outcomes.unionByName(said(events.where("known"), "skipped", F.lit(None)))
+
+    fresh = events.where(~F.col("known"))
+    last = state.records.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    made = salted_row_number(fresh.select(*content, "round").distinct(), [], [*content, "round"], "n")
+    made = materialize(made.withColumn("record_id", F.col("n") + last + 1).drop("n"), "records")
+    texts = read.where(F.col("error").isNull()).select(*content, "content").join(made.select(*content).distinct(), content, "left_semi").dropDuplicates(content)
+    chunks = chunk_documents(made.join(texts, content).select("record_id", "content"), "content", max_size)
+    last_chunk = _plus(state.chunks, state.new_chunks).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    chunks = salted_row_number(chunks, [], ["record_id", "chunk_index"], "n").withColumn("id", F.col("n") + last_chunk + 1).drop("n")
+    vectors = materialize(with_vectors(chunks, embedder), "vectors")
+    lost = vectors.where(F.col("embed_error").isNotNull()).groupBy("record_id").agg(F.count(F.lit(1)).alias("skipped_chunks"), F.first("embed_error").alias("embed_error"))
+    done = fresh.drop("record_id").join(made, [*content, "round"]).join(lost, "record_id", "left")
+    outcomes = outcomes.unionByName(done.select("key", "series", "pos", "path", F.lit("processed").alias("outcome"), F.col("embed_error").alias("error"), F.coalesce("skipped_chunks", F.lit(0)).alias("skipped_chunks")))
+
+    # in the end a series holds its last document: the record that the batch made last of this content, else the one it found
+    newest = made.groupBy(*content).agg(F.max_by("record_id", "round").alias("_made"))
+    kept = events.where("last").join(newest, content, "left").select("key", "path", "series", F.coalesce("_made", "record_id").alias("record_id"))
+    kept = materialize(kept, "kept")
+    here = state.records.select(F.col("id").alias("record_id"), "key", "path").join(kept.select("key", "path").distinct(), ["key", "path"], "left_semi")
+    ended = here.join(kept.select("key", "path", "series"), ["key", "path"]).select("record_id", "series").distinct()
+    links = state.series_keys.join(ended, ["record_id", "series"], "left_anti").select("record_id", "series").unionByName(kept.select("record_id", "series")).distinct()
+    links = materialize(links.select(state.series_keys.columns), "links")
+    gone = here.join(links.select("record_id").distinct(), "record_id", "left_anti").select(F.col("record_id").alias("id"))
+    stored = made.join(kept.select("record_id").distinct(), "record_id", "left_semi")
+    records = state.records.join(gone, "id", "left_anti").select(state.records.columns)
+    records = records.unionByName(stored.select(F.col("record_id").alias("id"), "key", "path", "content_hash", at(now).alias("created_at"), at(now).alias("updated_at")))
+    vectors = vectors.join(stored.select("record_id"), "record_id", "left_semi")
+    state = replace(
+        state,
+        records=records,
+        series_keys=links,
+        new_chunks=_plus(vectors.select(*state.chunks.columns), state.new_chunks),
+        new_embeddings=_plus(vectors.where(F.size("vector") > 0).select(F.col("id").alias("chunk_id"), "vector", F.size("vector").alias("dim")), state.new_embeddings),
+    )
+    touched = made.select("key").distinct()
+    rows = touched.join(state.keys, "key", "left_anti").select("key", F.lit(0).cast("long").alias("doc_count"), at(now).alias("last_accessed_at"), at(now).alias("last_updated_at"), F.lit(None).cast("timestamp").alias("trashed_at"))
+    keys = state.keys.join(touched.withColumn("_new", F.lit(True)), "key", "left").withColumn("last_updated_at", F.when(F.col("_new"), at(now)).otherwise(F.col("last_updated_at"))).select(state.keys.columns)
+    return settled(replace(state, keys=document_counts(keys.unionByName(rows), state.records, touched))), outcomes
 
 
 def outcome_counts(outcomes: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -66,6 +67,20 @@ def test_batch_equals_single(spark):
                 assert found[i, r.chunk_id] == pytest.approx((r.emb, r.lex, r.grep), abs=1e-8)
 
 
+def test_batch_in_a_join_and_with_a_cap(spark):
+    rng = random.Random(7)
+    texts = [" ".join(rng.choices(["alpha", "beta", "des-1", "gamma"], k=rng.randrange(0, 9))) for _ in range(40)]
+    rows = chunks(spark, texts, [[rng.uniform(-1, 1), rng.uniform(-1, 1)] if rng.random() < 0.9 else None for _ in texts])
+    asked = spark.createDataFrame([(1, "K", "beta alpha beta", [1.0, 1.0]), (2, "K", "des-1 gamma", None), (3, "K", None, [0.0, 0.0])], "query_id long, key string, query string, vector array<float>")
+    of = lambda df: {(r.query_id, r.chunk_id): (r.emb, r.lex, r.grep) for r in df.collect()}
+    held = of(sg.score_batch(rows, asked))
+    assert len(held) == 120 and of(sg.score_batch(rows, asked, held_bytes=0)) == {k: pytest.approx(v, abs=1e-8) for k, v in held.items()}
+    capped = of(sg.score_batch(rows, asked, cap=5))
+    assert capped.items() <= held.items() and len(capped) < len(held)
+    best = [{(r.query_id, r.chunk_id, tuple(r.origin_signals)) for r in fu.merge_order(fu.merge_signals(sg.score_batch(rows, asked, cap=c), ["query_id"], 5), ["query_id"], 5).collect()} for c in (None, 30)]
+    assert best[0] == best[1]
+
+
 def test_reciprocal_ranks(spark):
     rows = {r.chunk_id: r.rrf for r in fu.reciprocal_ranks(scored(spark, [3, 2, 1], [1, 2, 3], [0, 0, 0]), []).collect()}
     assert rows[0] == rows[2] == pytest.approx(1 / 61 + 1 / 63)

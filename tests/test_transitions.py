@@ -1,3 +1,5 @@
+import hashlib
+import random
 import sys
 from dataclasses import replace
 from datetime import datetime, timedelta
@@ -146,6 +148,56 @@ def test_upsert_in_order(spark, state):
     assert second.keys.first().last_updated_at == NOW
 
 
+def one_by_one(records, links, given):
+    """What upserting in rounds does, in plain Python: outcomes, and (path, content, series) held in the end."""
+    known = {i: (p, h) for i, p, h in records}
+    held = set(links)
+    turns, result = {}, {}
+    for pos, (series, path, text) in enumerate(given):
+        turns.setdefault((series, path), []).append((pos, series, path, text))
+    for n in range(max(map(len, turns.values()), default=0)):
+        now = [t[n] for t in turns.values() if len(t) > n]
+        at_start = {v: i for i, v in sorted(known.items(), reverse=True)}
+        kept, before = [], set(at_start)
+        for pos, series, path, text in now:
+            result[pos] = "skipped" if (path, text) in before else "processed"
+            i = at_start.setdefault((path, text), max([0, *known, *at_start.values()]) + 1)
+            known[i] = (path, text)
+            kept.append((i, path, series))
+        held |= {(i, s) for i, _, s in kept}
+        for i, path, series in kept:
+            held -= {(j, series) for j in known if known[j][0] == path and j != i}
+        paths = {path for _, path, _ in kept}
+        known = {i: v for i, v in known.items() if v[0] not in paths or any(j == i for j, _ in held)}
+    return result, {(*known[i], s) for i, s in held if i in known}, {v for v in known.values()}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_upsert_equals_one_after_the_other(spark, seed):
+    rng = random.Random(seed)
+    texts = ["one", "two", "three"]
+    hashed = {hashlib.sha256(t.encode()).hexdigest(): t for t in texts}
+    names = {t: h for h, t in hashed.items()}
+    records = [(i, rng.choice("ab"), rng.choice(texts)) for i in range(1, 6)]
+    records = list({(p, t): (i, p, t) for i, p, t in records}.values())
+    links = {(i, rng.choice(["main", "fx", "old"])) for i, _, _ in records if rng.random() < 0.8}
+    given = [(rng.choice(["main", "fx"]), rng.choice("abc"), rng.choice(texts)) for _ in range(25)]
+    empty = tr.State(**{t: spark.createDataFrame([], TABLES[t]) for t in TABLES})
+    state = replace(empty, records=spark.createDataFrame([(i, "K", p, names[t], NOW, NOW) for i, p, t in records], TABLES["records"]), series_keys=spark.createDataFrame(sorted(links) or [], TABLES["series_keys"]))
+    found, outcomes = tr.upsert(state, docs(spark, *[("K", s, p, t) for s, p, t in given]), NOW, HashEmbedder(4))
+    wanted, held, left = one_by_one(records, links, given)
+    assert outcome(outcomes) == wanted
+    rows = {r.id: (r.path, hashed[r.content_hash]) for r in found.records.collect()}
+    assert len(set(rows.values())) == len(rows) and set(rows.values()) == left
+    assert {(*rows[i], s) for i, s in links_of(found)} == held
+    chunks = tr.live(found).chunks.collect()
+    assert {rows[c.record_id][1] for c in chunks} == {c.text for c in chunks} and len({c.id for c in chunks}) == len(chunks)
+
+
+def links_of(state):
+    return {(r.record_id, r.series) for r in state.series_keys.collect()}
+
+
 class Failing:
     def embed(self, texts):
         raise RuntimeError("no vectors today")
@@ -169,3 +221,14 @@ def test_sync(spark, state):
     assert [r.path for r in marked.collect()] == ["c"]
     assert pending(found) == [("K", "fx", ""), ("K", "main", "c"), ("K", "main", "old")]
     assert ids(found) == [1, 2, 3, 5, 6]  # 4, an orphan of b, is gone with the reservation; 3 waits for its own
+
+
+def test_sync_again_skips_what_is_there_and_undoes_reservations(spark, state):
+    target = spark.createDataFrame([("K", "main")], "key string, series string")
+    found, outcomes, marked = tr.sync(state, docs(spark, ("K", "main", "a", "new a"), ("K", "main", "", "bad")), target, NOW, HashEmbedder(4))
+    assert outcome(outcomes) == {0: "processed", 1: "failed"}
+    assert [r.path for r in marked.collect()] == ["c"]
+    assert ("K", "main", "c") in pending(found) and 3 in ids(found)
+    back, outcomes, _ = tr.sync(found, docs(spark, ("K", "main", "a", "new a"), ("K", "main", "c", "c again")), target, NOW, HashEmbedder(4))
+    assert outcome(outcomes) == {0: "skipped", 1: "processed"}
+    assert ("K", "main", "c") not in pending(back) and 3 not in ids(back)
