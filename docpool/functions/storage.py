@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_WRITTEN = threading.local()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -27,12 +31,29 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
     Unlike a cached or locally checkpointed frame it survives the loss of executors, and what follows
-    does not compute df again. The files go when the JVM ends.
+    does not compute df again. The files go when the JVM ends, or at the end of a `scratch` around the call.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/docpool-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.deleteOnExit(target)
+    if getattr(_WRITTEN, "paths", None) is not None:
+        _WRITTEN.paths.append((files, target))
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Deletes, in the end, what this thread materializes inside; what is to outlive it must have been written or collected."""
+    outer = getattr(_WRITTEN, "paths", None)
+    _WRITTEN.paths = []
+    try:
+        yield
+    finally:
+        for files, target in _WRITTEN.paths:
+            files.delete(target, True)
+            files.cancelDeleteOnExit(target)
+        _WRITTEN.paths = outer

@@ -8,10 +8,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docpool.functions.storage import materialize
+from docpool.functions.storage import materialize, scratch
 from docpool.operators.fusion import DEFAULT_TOP, SIGNAL_CAP, FALLBACK_RATIO, hits, hybrid, merge_order, merge_signals, primary_score, reciprocal_ranks, signal_list, top
 from docpool.operators.rerank import Candidate, Reranker, blend, candidate_count, preview
-from docpool.operators.signals import score
+from docpool.operators.signals import B, K1, score
 
 MODES = ("emb", "lex", "grep", "hybrid", "all", "rerank")
 NEEDS = {"emb": ("emb",), "lex": ("lex",), "grep": ("grep",), "hybrid": ("emb", "lex")}
@@ -40,20 +40,28 @@ def scan(chunks: DataFrame, records: DataFrame, series_keys: DataFrame, key: str
     return chunks.select(*own).join(named, "record_id").join(lists, "record_id", "left")
 
 
-def search(chunks: DataFrame, query: str, vector: Sequence[float] | None = None, mode: str = "all", n: int = DEFAULT_TOP, reranker: Reranker | None = None) -> Found:
+def search(chunks: DataFrame, query: str, vector: Sequence[float] | None = None, mode: str = "all", n: int = DEFAULT_TOP, reranker: Reranker | None = None, k1: float = K1, b: float = B) -> Found:
     """The n best chunks (id, path, heading_path, text, vector[, norm, series_keys]) for one query.
 
     emb ranks all chunks, negative cosines too; lex and grep keep what they found; hybrid fuses emb and lex;
     all and rerank merge what any signal found. Without chunks every mode, even an unknown one, gives an empty
-    success. Chunks are scored in one pass, and only (id, scores) is kept; texts are fetched for the hits.
+    success. Chunks are scored in one pass, and only (id, scores) is kept; texts are fetched for the hits. The
+    hits, n at most, are rows at hand; what was written on the way is deleted.
     """
+    with scratch():
+        found = _search(chunks, query, vector, mode, n, reranker, k1, b)
+        rows = found.hits.collect()
+    return Found(chunks.sparkSession.createDataFrame(rows, found.hits.schema), found.stats, found.warnings)
+
+
+def _search(chunks: DataFrame, query: str, vector: Sequence[float] | None, mode: str, n: int, reranker: Reranker | None, k1: float, b: float) -> Found:
     n = n if n > 0 else DEFAULT_TOP
     mode = mode or "all"
     stats = dict.fromkeys(("emb_candidates", "lex_candidates", "grep_candidates", "fused_candidates", "merged_candidates", "rerank_candidates"), 0)
     warnings: list[str] = []
     if mode not in MODES and not chunks.isEmpty():
         raise ValueError(f"unknown mode {mode!r}")
-    scored = materialize(score(chunks, query, vector, NEEDS.get(mode, ("emb", "lex", "grep"))), "scores")
+    scored = materialize(score(chunks, query, vector, NEEDS.get(mode, ("emb", "lex", "grep")), k1=k1, b=b), "scores")
     stats |= hits(scored, []).first().asDict()
     none = F.lit(None).cast("double")
     if mode == "emb":

@@ -17,12 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docpool.errors import KeyNotFound, KeyTrashed
+from docpool.functions.storage import scratch
 from docpool.operators import transitions as tr
 from docpool.operators.chunker import DEFAULT_SIZE
 from docpool.operators.rerank import Reranker
 from docpool.operators.retrieval import Found, scan, search
+from docpool.operators.signals import B, K1
 from docpool.sources.content import Fetcher, HttpFetcher, resolve
-from docpool.sources.embedding import Embedder
+from docpool.sources.embedding import Embedder, embed_all
 from docpool.sources.store import SnapshotStore
 
 log = logging.getLogger("docpool")
@@ -78,10 +80,10 @@ def _need(**values: Any) -> None:
 class Service:
     """upsert, delete, query, sync and trash of document collections; keys are independent of each other."""
 
-    def __init__(self, store: SnapshotStore, embedder: Embedder, *, reranker: Reranker | None = None, fetcher: Fetcher | None = None, max_chunk_size: int = DEFAULT_SIZE, retention: timedelta = timedelta(days=3), now: Callable[[], datetime] = lambda: datetime.now(UTC)):
+    def __init__(self, store: SnapshotStore, embedder: Embedder, *, reranker: Reranker | None = None, fetcher: Fetcher | None = None, max_chunk_size: int = DEFAULT_SIZE, retention: timedelta = timedelta(days=3), k1: float = K1, b: float = B, now: Callable[[], datetime] = lambda: datetime.now(UTC)):
         self.store, self.embedder, self.reranker, self.now = store, embedder, reranker, now
         self.fetcher = fetcher or HttpFetcher()
-        self.max_chunk_size, self.retention = max_chunk_size, retention
+        self.max_chunk_size, self.retention, self.k1, self.b = max_chunk_size, retention, k1, b
         self.jobs, self._threads, self._closing = SyncJobs(), [], threading.Event()
         self.spark = store.spark
 
@@ -102,7 +104,7 @@ class Service:
         start = time.monotonic()
         try:
             self._not_trashed(key)
-            with self.store.locks.hold(key, self._closing.is_set):
+            with self.store.locks.hold(key, self._closing.is_set), scratch():
                 self._not_trashed(key)
                 yield
         finally:
@@ -161,9 +163,11 @@ class Service:
         self._not_trashed(key)
         warnings = []
         try:
-            with self.store.locks.hold(key, self._closing.is_set):
-                state = self.store.state(key)
-                self.store.save_keys(key, tr.touch(state, self.spark.createDataFrame([(key,)], "key string"), self._time()).keys)
+            row = self._key_row(key)
+            if row is not None and row.last_accessed_at != self._time():  # once a second is enough for a time in seconds
+                with self.store.locks.hold(key, self._closing.is_set):
+                    state = self.store.state(key)
+                    self.store.save_keys(key, tr.touch(state, self.spark.createDataFrame([(key,)], "key string"), self._time()).keys)
         except Exception as e:  # noqa: BLE001 - a query does not fail for it
             warnings.append(f"time of access not kept: {e}")
         state = self.store.state(key)
@@ -172,8 +176,11 @@ class Service:
         mode = mode or "all"
         vector = None
         if mode not in ("lex", "grep") and not chunks.isEmpty():
-            vector = self.embedder.embed([query])[0]
-        found = search(chunks, query, vector, mode, top_n, self.reranker)
+            asked = embed_all(self.embedder, [query])
+            if asked.skipped:
+                raise RuntimeError(f"the query can't be embedded: {asked.error}")
+            vector = asked.vectors[0]
+        found = search(chunks, query, vector, mode, top_n, self.reranker, self.k1, self.b)
         found.warnings[:0] = warnings
         return found
 
@@ -278,7 +285,7 @@ class Sweeper:
         cutoff = service._time() - self.retention
         for key in store.keys():
             try:
-                with store.locks.hold(key, self._stop.is_set):
+                with store.locks.hold(key, self._stop.is_set), scratch():
                     state = store.state(key)
                     if not tr.trashed_before(state.keys, cutoff).isEmpty():
                         store.commit(key, tr.sweep_keys(state, cutoff))
@@ -289,6 +296,7 @@ class Sweeper:
                         store.commit(key, tr.sweep_pending(state, cutoff))
                         store.compact(key)
                         self.stats.reservations_done += due
+                    store.clean(key)
             except Exception as e:  # noqa: BLE001
                 log.exception("sweep of %s failed", key)
                 self.stats.errors.append(f"{key}: {e}")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import http.client
 import ipaddress
 import os
 import socket
-import urllib.error
+import ssl
 import urllib.parse
-import urllib.request
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_FILE = 10 * 1024 * 1024
+#: Bytes of an answer that are taken.
+MAX_ANSWER = 64 * 1024 * 1024
 MAX_REDIRECTS = 5
 #: Networks that URLs must not lead into.
 PRIVATE_NETWORKS = ("127.0.0.0/8", "10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "169.254.0.0/16", "::1/128", "fc00::/7")
@@ -47,54 +49,87 @@ def is_private(address: str) -> bool:
     return ip.is_loopback or link or any(ip.version == n.version and ip in n for n in _NETWORKS)
 
 
-class _Redirects(urllib.request.HTTPRedirectHandler):
-    max_redirections = MAX_REDIRECTS
-
-    def __init__(self, check: Callable[[str], None]):
-        self.check = check
-
-    def redirect_request(self, req, fp, code, msg, headers, newurl):  # noqa: ANN001, ANN201
-        self.check(newurl)
-        return super().redirect_request(req, fp, code, msg, headers, newurl)
+def addresses(url: str, allow_private: bool) -> tuple[urllib.parse.SplitResult, list[str]]:
+    """An HTTP address and what its host resolves to; refused if any of it is private."""
+    parts = urllib.parse.urlsplit(url)
+    try:
+        port = parts.port
+    except ValueError as e:
+        raise ContentError(f"not an HTTP address: {url}") from e
+    if parts.scheme not in ("http", "https") or not parts.hostname:
+        raise ContentError(f"not an HTTP address: {url}")
+    try:
+        found = list(dict.fromkeys(str(x[4][0]) for x in socket.getaddrinfo(parts.hostname, port, type=socket.SOCK_STREAM)))
+    except (OSError, UnicodeError) as e:
+        raise ContentError(f"{parts.hostname} can't be resolved: {e}") from e
+    for address in found:
+        if not allow_private and is_private(address):
+            raise ContentError(f"{parts.hostname} is a private address: {address}")
+    return parts, found
+
+
+def _connection(parts: urllib.parse.SplitResult, found: list[str], timeout: float) -> http.client.HTTPConnection:
+    """A connection to one of the addresses that were checked, so that no second resolving can lead elsewhere."""
+    secure = parts.scheme == "https"
+    port = parts.port or (443 if secure else 80)
+    error: OSError | None = None
+    for address in found:
+        try:
+            sock = socket.create_connection((address, port), timeout)
+        except OSError as e:
+            error = e
+            continue
+        connection = http.client.HTTPConnection(str(parts.hostname), port, timeout=timeout)
+        connection.sock = ssl.create_default_context().wrap_socket(sock, server_hostname=parts.hostname) if secure else sock
+        connection.auto_open = 0
+        return connection
+    raise error or OSError("no address")
 
 
 class HttpFetcher:
-    """Fetches text over HTTP; every host on the way is resolved and refused if it is private."""
+    """Fetches text over HTTP; every host on the way is resolved once, and refused if it is private."""
 
-    def __init__(self, timeout_seconds: int = 30, allow_private: bool = False):
+    def __init__(self, timeout_seconds: int = 30, allow_private: bool = False, max_bytes: int = MAX_ANSWER):
         self.timeout = timeout_seconds if timeout_seconds > 0 else 30
-        self.allow_private = allow_private
-
-    def _check(self, url: str) -> None:
-        parts = urllib.parse.urlsplit(url)
-        if parts.scheme not in ("http", "https") or not parts.hostname:
-            raise ContentError(f"not an HTTP address: {url}")
-        if not self.allow_private:
-            try:
-                found = {x[4][0] for x in socket.getaddrinfo(parts.hostname, parts.port)}
-            except OSError as e:
-                raise ContentError(f"{parts.hostname} can't be resolved: {e}") from e
-            for address in found:
-                if is_private(str(address)):
-                    raise ContentError(f"{parts.hostname} is a private address: {address}")
+        self.allow_private, self.max_bytes = allow_private, max_bytes
 
     def fetch(self, url: str) -> str:
-        self._check(url)
-        opener = urllib.request.build_opener(urllib.request.ProxyHandler({}), _Redirects(self._check))
-        try:
-            with opener.open(url, timeout=self.timeout) as answer:
-                kind = answer.headers.get("Content-Type", "")
-                if not 200 <= answer.status < 300:
-                    raise ContentError(f"status {answer.status}: {url}")
-                if kind and not kind.lower().startswith("text/"):
-                    raise ContentError(f"not a text: {kind} ({url})")
-                return answer.read().decode("utf-8", "replace")
-        except (urllib.error.URLError, OSError) as e:
-            raise ContentError(f"{url}: {e}") from e
+        for _ in range(MAX_REDIRECTS + 1):
+            parts, found = addresses(url, self.allow_private)
+            try:
+                connection = _connection(parts, found, self.timeout)
+                try:
+                    target = urllib.parse.quote(urllib.parse.urlunsplit(("", "", parts.path or "/", parts.query, "")), safe="/?&=%:;,@+$!*'()~#[]")
+                    host = parts.netloc.rpartition("@")[2]
+                    connection.request("GET", target, headers={"Host": host, "User-Agent": "docpool", "Accept": "text/*"})
+                    answer = connection.getresponse()
+                    if answer.status in (301, 302, 303, 307, 308) and answer.getheader("Location"):
+                        url = urllib.parse.urljoin(url, str(answer.getheader("Location")))
+                        continue
+                    return self._text(answer, url)
+                finally:
+                    connection.close()
+            except (OSError, http.client.HTTPException) as e:
+                raise ContentError(f"{url}: {e}") from e
+        raise ContentError(f"more than {MAX_REDIRECTS} redirects: {url}")
+
+    def _text(self, answer: http.client.HTTPResponse, url: str) -> str:
+        if not 200 <= answer.status < 300:
+            raise ContentError(f"status {answer.status}: {url}")
+        kind = answer.getheader("Content-Type") or ""
+        if kind and not kind.lower().startswith("text/"):
+            raise ContentError(f"not a text: {kind} ({url})")
+        body = answer.read(self.max_bytes + 1)
+        if len(body) > self.max_bytes:
+            raise ContentError(f"more than {self.max_bytes} bytes: {url}")
+        return body.decode("utf-8", "replace")
 
 
 def read_local(path: str) -> str:
-    """The text of a local file by its absolute path: no `..`, a regular file, at most MAX_FILE bytes."""
+    """The text of a local file by its absolute path: no `..`, a plain file, at most MAX_FILE bytes.
+
+    On a cluster this runs in the tasks, so the path must be one that all executors see, such as a shared mount.
+    """
     if not path or not os.path.isabs(path):
         raise ContentError(f"not an absolute path: {path!r}")
     if ".." in path.split(os.sep):
@@ -105,7 +140,7 @@ def read_local(path: str) -> str:
     except OSError as e:
         raise ContentError(f"{path}: {e}") from e
     if not os.path.isfile(real):
-        raise ContentError(f"not a regular file: {real!r}")
+        raise ContentError(f"{real!r} is no plain file")
     if size > MAX_FILE:
         raise ContentError(f"{size} bytes are more than {MAX_FILE}: {real!r}")
     with open(real, encoding="utf-8", errors="replace") as f:

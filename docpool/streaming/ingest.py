@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from docpool.functions.storage import materialize, scratch
 from docpool.operators import transitions as tr
 from docpool.service import Service
 
@@ -25,7 +26,11 @@ def ingest(service: Service, rows: DataFrame, checkpoint: str, *, once: bool = T
     """
 
     def batch(docs: DataFrame, _: int) -> None:
-        docs = docs.withColumn("error", F.lit(None).cast("string"))
+        with scratch():
+            written = materialize(docs.select("key", "series", "pos", "path", "content").withColumn("error", F.lit(None).cast("string")), "batch")  # its source is read once
+            upsert_all(written)
+
+    def upsert_all(docs: DataFrame) -> None:
         for row in docs.select("key").where(F.col("key").isNotNull()).distinct().toLocalIterator():
             with service._changing("ingest", row.key):
                 own = docs.where(F.col("key") == row.key).select("key", "series", "pos", "path", "content", "error")
