@@ -7,7 +7,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
@@ -35,7 +35,7 @@ def folded(text: str) -> str:
 def slices(batches: Iterator[pa.RecordBatch], text: int, chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that the texts of a slice hold about `chars` bytes at most, or are a single row."""
     for batch in batches:
-        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
         start, held = 0, 0
         for i, n in enumerate(sizes):
             if held and held + n > chars:
