@@ -313,6 +313,11 @@ def list_keys(keys: DataFrame, records: DataFrame, series_keys: DataFrame, chunk
     return active.join(counts, "key", "left").join(series, "key", "left").withColumn("chunk_count", F.coalesce("chunk_count", F.lit(0))).orderBy("key")
 
 
+def chunk_total(chunks: DataFrame) -> DataFrame:
+    """(chunks): how many there are over all keys."""
+    return chunks.agg(F.count(F.lit(1)).alias("chunks"))
+
+
 def list_trashed(keys: DataFrame, retention_seconds: int, now: datetime) -> DataFrame:
     """(key, doc_count, trashed_at, remaining_seconds): keys in the trash, oldest first."""
     left = F.unix_timestamp("trashed_at") + F.lit(retention_seconds).cast("long") - F.unix_timestamp(at(now))

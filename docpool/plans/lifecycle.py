@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,11 +78,7 @@ def dedup_plan(spark: SparkSession, folder: str) -> DataFrame:
 
 def upsert_outcome(spark: SparkSession, folder: str) -> DataFrame:
     """All documents stored in an empty collection, one after the other by doc_id: counts by key."""
-    docs = table(spark, folder, "documents").select("key", F.lit("main").alias("series"), F.col("doc_id").alias("pos"), "path", F.col("text").alias("content"), F.lit(None).cast("string").alias("error"))
-    empty = _state(spark, folder)
-    none = lambda df: df.where(F.lit(False))
-    start = tr.State(none(empty.keys), none(empty.records), none(empty.series_keys), spark.createDataFrame([], CHUNKS), spark.createDataFrame([], EMBEDDINGS), spark.createDataFrame([], PENDING))
-    _, outcomes = tr.upsert(start, docs, NOW, HashEmbedder(8))
+    _, outcomes = tr.upsert(_empty(spark, folder), _documents(spark, folder).drop("lang"), NOW, HashEmbedder(8))
     return tr.outcome_counts(outcomes).select("key", "processed", "skipped", "failed")
 
 
@@ -155,11 +151,60 @@ def sweep_keys(spark: SparkSession, folder: str) -> DataFrame:
     return state.keys.select("key").join(state.records.groupBy("key").agg(F.count(F.lit(1)).alias("records")), "key", "left")
 
 
+def chunk_total(spark: SparkSession, folder: str) -> DataFrame:
+    return tr.chunk_total(_state(spark, folder).chunks)
+
+
+def trash_restore(spark: SparkSession, folder: str) -> DataFrame:
+    """All keys go to the trash and those with an even number of documents come back: what is listed as trashed then."""
+    state = _state(spark, folder)
+    gone = tr.set_trashed(state, state.keys, NOW)
+    back = tr.set_trashed(gone, gone.keys.where(F.col("doc_count") % 2 == 0), None)
+    return tr.list_trashed(back.keys, RETENTION, NOW).select("key", "doc_count", "remaining_seconds")
+
+
+def reserve_series(spark: SparkSession, folder: str) -> DataFrame:
+    """Records left by key after series main was reserved for deletion everywhere and a sweep carried out what is due."""
+    state = _state(spark, folder)
+    state, _ = tr.mark_pending(state, state.keys.select("key", F.lit("main").alias("series"), F.lit(tr.WHOLE_SERIES).alias("path")), CUTOFF - timedelta(days=1))
+    return tr.sweep_pending(state, CUTOFF).records.groupBy("key").agg(F.count(F.lit(1)).alias("records"))
+
+
+def _empty(spark: SparkSession, folder: str) -> tr.State:
+    none = lambda df: df.where(F.lit(False))
+    like = _state(spark, folder)
+    return tr.State(none(like.keys), none(like.records), none(like.series_keys), spark.createDataFrame([], CHUNKS), spark.createDataFrame([], EMBEDDINGS), spark.createDataFrame([], PENDING))
+
+
+def _documents(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents").select("key", F.lit("main").alias("series"), F.col("doc_id").alias("pos"), "path", F.col("text").alias("content"), F.lit(None).cast("string").alias("error"), "lang")
+
+
+def sync_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents stored, then every key synced with those marked as English: counts of the sync, and of paths marked for deletion."""
+    docs = _documents(spark, folder)
+    state, _ = tr.upsert(_empty(spark, folder), docs.drop("lang"), NOW, HashEmbedder(8))
+    english = docs.where(F.lower(F.trim("lang")) == "en").drop("lang")
+    _, outcomes, marked = tr.sync(state, english, docs.select("key", "series").distinct(), NOW, HashEmbedder(8))
+    counts = tr.outcome_counts(outcomes).select("key", "processed", "skipped", "failed")
+    return counts.join(marked.groupBy("key").agg(F.count(F.lit(1)).alias("marked")), "key", "full").na.fill(0)
+
+
+def sync_changes(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents stored, then synced again with an edit in one of a hundred: what is done by key."""
+    docs = _documents(spark, folder).drop("lang")
+    state, _ = tr.upsert(_empty(spark, folder), docs, NOW, HashEmbedder(8))
+    edited = docs.withColumn("content", F.when(F.col("pos") % 100 == 0, F.concat("content", F.lit(" edited"))).otherwise(F.col("content")))
+    _, outcomes, _ = tr.sync(state, edited, docs.select("key", "series").distinct(), NOW, HashEmbedder(8))
+    return tr.outcome_counts(outcomes).select("key", "processed", "skipped", "failed")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q
     for q in (
         list_indexes, list_trashed, document_counts, list_paths, orphan_records, link_counts, source_validity, dedup_plan, upsert_outcome, delete_documents,
         delete_series, chunks_after_delete, sync_orphans, sync_diff, sync_self_repair, mark_pending, sweep_pending, sweep_records, sweep_keys,
+        chunk_total, trash_restore, reserve_series, sync_documents, sync_changes,
     )
 }
 
@@ -170,7 +215,29 @@ _DUE = _PENDING + ", due as (select * from pending where marked_at < timestamptz
 _SENT_PATH = "case when starts_with(p, '/') then '/' else '' end || array_to_string(list_filter(string_split(p, '/'), lambda s: s not in ('', '.')), '/')"
 _TRIM = r"regexp_replace(path, '^\s+|\s+$', '', 'g') as p"
 
+#: Stored documents as (key, path, doc_id, h), what a sync delivers then as `sent`, and by key what becomes of it.
+_STORED = r"""with d as (select key, path, doc_id, lower(trim(lang)) as lang, regexp_replace(regexp_replace(text, '^\x{FEFF}', ''), '\r\n?', chr(10), 'g') as c from documents),
+        held as (select key, path, arg_max(c, doc_id) as c from d where coalesce(path, '') <> '' and c is not null group by all),
+        """
+_SYNCED = """,
+        e as (select key, path, -1 as doc_id, c from held union all select key, path, doc_id, c from sent where coalesce(path, '') <> '' and c is not null),
+        o as (select key, doc_id, case when c = lag(c) over (partition by key, path order by doc_id) then 'skipped' else 'processed' end as o from e
+              union all select key, doc_id, 'failed' from sent where coalesce(path, '') = '' or c is null),
+        n as (select key, count(*) filter (o = 'processed') as processed, count(*) filter (o = 'skipped') as skipped, count(*) filter (o = 'failed') as failed from o where doc_id >= 0 group by 1)
+        """
+
 ORACLE = {
+    "chunk_total": "select count(*) as chunks from chunks",
+    "trash_restore": "select key, doc_count, (400 * 86400)::bigint as remaining_seconds from doc_keys where doc_count % 2 <> 0",
+    "reserve_series": _DUE + """, l as (select distinct s.record_id, s.series, r.key, r.path from series_keys s join records r on r.id = s.record_id),
+        active as (select key from doc_keys where trashed_at is null),
+        left_ as (select * from l where not (series = 'main' and key in (select key from active)))
+        select key, count(*) as records from records r where exists (select 1 from left_ where record_id = r.id)
+          or (not exists (select 1 from l where record_id = r.id) and not exists (select 1 from due d where d.key = r.key and d.path = r.path)) group by 1""",
+    "sync_documents": _STORED + "sent as (select * from d where lang = 'en')" + _SYNCED + """,
+        m as (select key, count(*) as marked from (select key, path from held except select key, path from sent) group by 1)
+        select key, coalesce(processed, 0) as processed, coalesce(skipped, 0) as skipped, coalesce(failed, 0) as failed, coalesce(marked, 0) as marked from n full join m using (key)""",
+    "sync_changes": _STORED + "sent as (select key, path, doc_id, c || case when doc_id % 100 = 0 then ' edited' else '' end as c from d)" + _SYNCED + "select * from n",
     "list_indexes": """select k.key, k.doc_count, coalesce(c.n, 0) as chunk_count, s.series from doc_keys k
         left join (select r.key, count(c.id) as n from records r left join chunks c on c.record_id = r.id group by 1) c using (key)
         left join (select r.key, string_agg(distinct s.series, ',' order by s.series) as series from records r join series_keys s on s.record_id = r.id group by 1) s using (key) where k.trashed_at is null""",

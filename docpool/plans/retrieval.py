@@ -97,6 +97,24 @@ def scan_key_series(spark: SparkSession, folder: str) -> DataFrame:
     return scan(table(spark, folder, "chunks"), table(spark, folder, "records"), table(spark, folder, "series_keys"), series="main").select("id", "key", "path")
 
 
+def scan_one_key(spark: SparkSession, folder: str) -> DataFrame:
+    """The chunks of the first key, and those of its series main."""
+    key = table(spark, folder, "doc_keys").agg(F.min("key")).first()[0]
+    tables = [table(spark, folder, t) for t in ("chunks", "records", "series_keys")]
+    main = scan(*tables, key=key, series="main").select(F.lit("main").alias("series"), "id", "path")
+    return scan(*tables, key=key).select(F.lit("").alias("series"), "id", "path").unionByName(main)
+
+
+def search_modes(spark: SparkSession, folder: str) -> DataFrame:
+    """The best chunks by each mode that needs no judge, with the score that is shown."""
+    chunks, vector, out = table(spark, folder, "chunks"), _vector(spark, folder), None
+    for mode in ("emb", "lex", "grep", "hybrid", "all"):
+        hits_ = search(chunks, PHRASE if mode == "grep" else QUERY, vector, mode, TOP).hits
+        part = hits_.select(F.lit(mode).alias("mode"), F.col("place").cast("long").alias("place"), "chunk_id", F.round("score", 6).alias("score"), F.array_join("origin_signals", ",").alias("origin_signals"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def emb_topk(spark: SparkSession, folder: str) -> DataFrame:
     return top(_scored(spark, folder, signals=("emb",)), [], "emb", TOP).select("place", "chunk_id", F.round("emb", 6).alias("emb"))
 
@@ -265,7 +283,7 @@ _FLAGS = "concat_ws(',', case when fe = 1 then 'emb' end, case when fl = 1 then
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q
     for q in (
-        ingest_normalize_hash, chunk_sections, chunk_heading_path, chunk_size_split, embed_text, prose_lengths, tokenize_tf, scan_key, scan_key_series,
+        ingest_normalize_hash, chunk_sections, chunk_heading_path, chunk_size_split, embed_text, prose_lengths, tokenize_tf, scan_key, scan_key_series, scan_one_key, search_modes,
         emb_topk, emb_all_scores, lex_topk, lex_id_bonus, lex_phrase_bonus, grep_topk, hybrid_rrf, hybrid_emb_fallback, hybrid_topk_guarantee,
         merge_all, merge_all_batch, hybrid_batch, rerank_blend, rerank_fallback, stage_stats,
     )
@@ -283,6 +301,14 @@ ORACLE = {
         ((length(b) - length(replace(b, 'release', ''))) / 7)::bigint as tf_release, ((length(b) - length(replace(b, 'index', ''))) / 5)::bigint as tf_index, ((length(b) - length(replace(b, 'des-044', ''))) / 7)::bigint as tf_id from c""",
     "scan_key": "select c.id, r.key, r.path, s.series, sha256(c.text) as hash, coalesce(len(c.vector), 0) as dim from chunks c join records r on r.id = c.record_id left join (select record_id, string_agg(distinct series, ',' order by series) as series from series_keys group by 1) s on s.record_id = r.id",
     "scan_key_series": "select c.id, r.key, r.path from chunks c join records r on r.id = c.record_id where r.id in (select record_id from series_keys where series = 'main')",
+    "scan_one_key": """with c as (select c.id, r.path, r.id as rid from chunks c join records r on r.id = c.record_id where r.key = (select min(key) from doc_keys))
+        select '' as series, id, path from c union all select 'main', id, path from c where rid in (select record_id from series_keys where series = 'main')""",
+    "search_modes": _signals(QUERY) + f"""
+        select 'emb' as mode, re as place, chunk_id, round(emb, 6) as score, 'emb' as origin_signals from rk where re <= 10
+        union all select 'lex', rl, chunk_id, round(lex, 6), 'lex' from rk where rl <= 10 and lex > 0
+        union all select 'grep', place, chunk_id, grep, 'grep' from ({_signals(PHRASE)} select row_number() over (order by grep desc, chunk_id) as place, chunk_id, grep::double as grep from sig where grep > 0) where place <= 10
+        union all select 'hybrid', place, chunk_id, round(rrf, 6), s from (select *, row_number() over (order by rrf desc, chunk_id) as place, concat_ws(',', case when emb > 0 then 'emb' end, case when lex > 0 then 'lex' end) as s from hy) where place <= 10
+        union all select 'all', place, chunk_id, round(greatest(emb, lex, grep), 6), {_FLAGS.removesuffix(' as origin_signals')} from mo where place <= 10""",
     "emb_topk": _signals(QUERY) + "select re as place, chunk_id, round(emb, 6) as emb from rk where re <= 10",
     "emb_all_scores": _signals(QUERY) + "select chunk_id, round(emb, 6) as emb from sig",
     "lex_topk": _signals(QUERY) + "select rl as place, chunk_id, round(lex, 6) as lex from rk where rl <= 10 and lex > 0",
