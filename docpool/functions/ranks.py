@@ -1,4 +1,4 @@
-"""Row numbers within groups of any size."""
+"""Row numbers and joins within groups of any size."""
 
 from __future__ import annotations
 
@@ -9,14 +9,37 @@ from pyspark.sql.window import Window
 from docpool.functions.storage import materialize
 
 
-def salted_row_number(df: DataFrame, group: list[str], identity: list[str], name: str, salts: int = 64) -> DataFrame:
+#: Rows of a key that meet their partners in one task; keys with more are split.
+HOT_ROWS = 1_000_000
+
+
+def salts_for(df: DataFrame) -> int:
+    """Into how many parts a group is cut that may be any share of all rows: as many as a shuffle has, 64 at least."""
+    return max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions") or 0))
+
+
+def spread_join(big: DataFrame, small: DataFrame, key: str, spread: str, *, counted: DataFrame | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """big joined with small, which has few rows of a key, by their column `key`; keys with many rows of big are split.
+
+    The rows of a key that has hot_rows or more are dealt out by a hash of big's column `spread` to parts of about
+    hot_rows, and small's rows of that key go to all of them. The hot keys, at most a hot_rows-th of big's rows, are
+    broadcast; they are counted in `counted` (big itself if not given). Null keys join nothing.
+    """
+    sizes = (big if counted is None else counted).groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where((F.col("_n") >= hot_rows) & F.col(key).isNotNull())
+    hot = F.broadcast(sizes.select(key, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_parts")))
+    left = big.join(hot, key, "left").withColumn("_salt", F.when(F.col("_parts").isNotNull(), F.pmod(F.xxhash64(spread), F.col("_parts"))).otherwise(0).cast("int")).drop("_parts")
+    right = small.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return left.join(right, [key, "_salt"]).drop("_salt")
+
+
+def salted_row_number(df: DataFrame, group: list[str], identity: list[str], name: str, salts: int | None = None) -> DataFrame:
     """Adds `name`: 0-based numbers 0..n-1 within each group, in an arbitrary but repeatable order.
 
-    A group is split by a hash of `identity` into `salts` parts that are numbered apart; the parts' sizes,
-    at most `salts` rows a group, give each part its offset. So no task sorts a whole hot group.
+    A group is split by a hash of `identity` into `salts` parts (salts_for) that are numbered apart; the parts'
+    sizes, at most `salts` rows a group, give each part its offset. So no task sorts a whole hot group.
     Rows must be distinct in `identity`; nulls in `group` form a group of their own.
     """
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*identity), F.lit(salts)).cast("int"))
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*identity), F.lit(salts or salts_for(df))).cast("int"))
     sizes = salted.groupBy(*group, "_salt").agg(F.count(F.lit(1)).alias("_size"))
     before = Window.partitionBy(*group).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from docpool.functions.ranks import spread_join
 from docpool.functions.storage import materialize
 from docpool.functions.text import ID_PATTERN, id_tokens, norm_text, normalised, substring_count, tokenise, tokens
 
@@ -21,6 +22,8 @@ K1, B = 1.5, 0.75
 ID_BONUS, PHRASE_BONUS = 10.0, 2.0
 #: Decimal places to which signals are rounded, so that equal scores are ties whatever order they were summed in.
 DIGITS = 9
+#: Chunks of a key that meet its queries in one task.
+HOT_CHUNKS = 20_000
 #: Bytes of a batch of queries that are sent to every task.
 HELD_BYTES = 32 * 1024 * 1024
 
@@ -230,7 +233,7 @@ def score_batch(chunks: DataFrame, queries: DataFrame, cap: int | None = None, k
 def _score_joined(chunks: DataFrame, queries: DataFrame, k1: float, b: float) -> DataFrame:
     """score_batch for any number of queries.
 
-    Chunks and queries meet by an equi-join on key; AQE splits keys that hold much of either. Texts are only read
+    Chunks and queries meet by an equi-join on key; keys with many chunks are split. Texts are only read
     in that join: what goes on is a row of numbers for each pair, written once, from which the statistics
     of every query and token come with map-side sums.
     """
@@ -238,7 +241,7 @@ def _score_joined(chunks: DataFrame, queries: DataFrame, k1: float, b: float) ->
     q = q.withColumn("q_tokens", tokens(F.col("q_norm"))).withColumn("q_words", F.array_distinct("q_tokens")).withColumn("q_ids", F.regexp_extract_all("q_norm", F.lit(ID_PATTERN), F.lit(0)))
     q = q.withColumn("q_times", F.transform("q_words", lambda w: F.size(F.filter("q_tokens", lambda t: t == w))))
     c = normal_form(chunks).select(F.col("id").alias("chunk_id"), F.col("key").alias("c_key"), "norm", "vector")
-    met = c.join(q, F.col("c_key") == F.col("q_key"))
+    met = spread_join(c, q.withColumnRenamed("q_key", "c_key"), "c_key", "chunk_id", counted=chunks.select(F.col("key").alias("c_key")), hot_rows=HOT_CHUNKS)
     norm = F.col("norm")
     bonus = F.aggregate("q_ids", F.lit(0.0), lambda s, m: s + F.when(F.contains(norm, m), ID_BONUS).otherwise(0.0)) + F.when(F.contains(norm, F.col("q_norm")), PHRASE_BONUS).otherwise(0.0)
     pairs = met.select(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docpool.functions.ranks import counted_before
+from docpool.functions.ranks import HOT_ROWS, counted_before, spread_join
 
 
 def clean_path(path: Column) -> Column:
@@ -32,7 +32,7 @@ def snapshot_pairs(snapshots: DataFrame, group: list[str], snapshot: str, order:
     return placed.join(later, same).select(F.col(snapshot).alias("previous"), "current")
 
 
-def snapshot_changes(snapshots: DataFrame, rows: DataFrame, *, group: list[str], snapshot: str, order: str, key: str, fields: list[str], version: str) -> DataFrame:
+def snapshot_changes(snapshots: DataFrame, rows: DataFrame, *, group: list[str], snapshot: str, order: str, key: str, fields: list[str], version: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(snapshot, key, change, fields): what each snapshot changed against the one before it in its group.
 
     change is `added`, `removed` or `changed`; fields names the fields whose values are known in both
@@ -46,7 +46,7 @@ def snapshot_changes(snapshots: DataFrame, rows: DataFrame, *, group: list[str],
 
     Every row becomes signed cells, +1 for its own snapshot and -1 for the next: one that marks the key's
     presence, and one for each known field value. Cells that do not cancel out classify the key. All sums are
-    combined before the shuffle, and no snapshot or group comes together in one task.
+    combined before the shuffle, and no snapshot or group comes together in one task: one of hot_rows rows and more is split.
     """
     pairs = snapshot_pairs(snapshots, group, snapshot, order)
     values = F.struct(*[F.col(f).cast("string").alias(f) for f in fields])
@@ -57,7 +57,8 @@ def snapshot_changes(snapshots: DataFrame, rows: DataFrame, *, group: list[str],
         *[F.struct(F.lit(f).alias("field"), F.col(f"row.values.{f}").alias("value")) for f in fields],
     )
     ends = pairs.select(F.col("current").alias("snapshot"), F.col("current").alias("at"), F.lit(1).alias("sign")).unionByName(pairs.select(F.col("previous").alias("snapshot"), F.col("current").alias("at"), F.lit(-1).alias("sign")))
-    signed = own.join(ends, "snapshot").select("at", "key", "sign", F.explode(F.filter(cells, lambda c: c["field"].isNull() | c["value"].isNotNull())).alias("cell"))
+    counted = rows.select(F.col(snapshot).alias("snapshot"))
+    signed = spread_join(own, ends, "snapshot", "key", counted=counted, hot_rows=hot_rows).select("at", "key", "sign", F.explode(F.filter(cells, lambda c: c["field"].isNull() | c["value"].isNotNull())).alias("cell"))
     left = signed.groupBy("at", "key", "cell.field", "cell.value").agg(F.sum("sign").alias("sign")).where(F.col("sign") != 0)
     by_field = left.groupBy("at", "key", "field").agg(F.sum("sign").alias("sign"), F.count(F.lit(1)).alias("cells"))
     by_key = by_field.groupBy("at", "key").agg(

@@ -11,8 +11,8 @@ START = datetime(2025, 1, 1)
 JOB, ROW = "job string, k string, s string, at timestamp", "job string, path string, hash string, size long, got timestamp, key string"
 
 
-def changes(spark, jobs, rows, fields=("hash",)):
-    found = snapshot_changes(spark.createDataFrame(jobs, JOB), spark.createDataFrame(rows, ROW), group=["k", "s"], snapshot="job", order="at", key="path", fields=list(fields), version="got")
+def changes(spark, jobs, rows, fields=("hash",), **options):
+    found = snapshot_changes(spark.createDataFrame(jobs, JOB), spark.createDataFrame(rows, ROW), group=["k", "s"], snapshot="job", order="at", key="path", fields=list(fields), version="got", **options)
     return {(r.snapshot, r.key): (r.change, r.fields) for r in found.collect()}
 
 
@@ -33,6 +33,12 @@ def test_added_removed_changed(spark):
     }
 
 
+def test_hot_snapshots_give_the_same(spark):
+    jobs = [job(n, i) for i, n in enumerate("abc")]
+    rows = [row(n, f"p{i}", str(i // (k + 2))) for k, n in enumerate("abc") for i in range(k, 12 - k)]
+    assert changes(spark, jobs, rows, hot_rows=2) == changes(spark, jobs, rows) != {}
+
+
 def test_unknown_values_are_no_change(spark):
     jobs = [job("a", 0), job("b", 1), job("c", 2)]
     rows = [row("a", "p", None), row("b", "p", "1"), row("c", "p", None), row("a", "q", "1"), row("b", "q", "1"), row("c", "q", "1")]
