@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from docpool.functions.ranks import salts_for, spread_join
 from docpool.functions.storage import materialize
 
 #: Rows of a cell that meet in one tile; larger cells are cut into blocks, each pair of which is a tile.
@@ -106,12 +107,12 @@ def classes_of(rows: DataFrame, row_id: str, vector: str, dim: int, k: int) -> t
 
     unit = read.mapInArrow(directions, "id long, direction binary, vector array<float>")
     unit = materialize(unit, "directions").dropDuplicates(["id"])
-    # at most k + 1 ids a class leave each of 16 parts, so no hot class comes together whole
+    # at most k + 1 ids a class leave each part, so no hot class comes together whole
     part = Window.partitionBy("direction", "part").orderBy("id")
-    parts = unit.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(16))).withColumn("n", F.row_number().over(part)).where(F.col("n") <= k + 1)
+    parts = unit.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(salts_for(unit)))).withColumn("n", F.row_number().over(part)).where(F.col("n") <= k + 1)
     reps = parts.groupBy("direction").agg(F.slice(F.array_sort(F.collect_list("id")), 1, k + 1).alias("firsts"), F.min_by("vector", "id").alias("vector"))
     reps = materialize(reps.select(F.element_at("firsts", 1).alias("rep"), "direction", "vector", "firsts"), "vectors")
-    members = unit.select("id", "direction").join(reps.select("direction", "rep"), "direction").select("id", "rep")
+    members = spread_join(unit.select("id", "direction"), reps.select("direction", "rep"), "direction", "id").select("id", "rep")
     return members, reps.select("rep", "vector", "firsts")
 
 
@@ -175,6 +176,7 @@ def neighbours_above(rows: DataFrame, row_id: str, vector: str, *, dim: int, k:
     No rows give no rows.
     """
     members, reps = classes_of(rows, row_id, vector, dim, k)
+    members = materialize(members, "members")
     n = reps.count()
     second = min(dim, max(0, round(n / cell / (2 * dim) / 2)))
     coded = reps.select("rep", "vector").mapInArrow(_coded(dim, tables, second), "rep long, cells array<long>, codes binary, scale float, residual float")
@@ -195,7 +197,7 @@ def neighbours_above(rows: DataFrame, row_id: str, vector: str, *, dim: int, k:
     near = near.unionByName(reps.where(F.size("firsts") > 1).select(F.col("rep").alias("src"), F.col("rep").alias("dst"), F.lit(1.0).alias("cosine")))
     shown = near.join(reps.select(F.col("rep").alias("dst"), "firsts"), "dst").select("src", "cosine", F.explode("firsts").alias("neighbour"))
     row = Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbour")
-    found = shown.join(members.select("id", F.col("rep").alias("src")), "src").where(F.col("id") != F.col("neighbour"))
+    found = spread_join(members.select("id", F.col("rep").alias("src")), shown, "src", "id").where(F.col("id") != F.col("neighbour"))
     return found.withColumn("place", F.row_number().over(row)).where(F.col("place") <= k).select("id", "neighbour", "cosine", "place")
 
 

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docpool.functions.ranks import spread_join
 from docpool.functions.storage import materialize
 from docpool.llm._text import folded, slices
 
@@ -146,7 +147,7 @@ def _signed(fold: Callable[[str], str], size: int, min_chars: int, exact: bool,
                 hashes, times, counts = np.concatenate([h for h, _ in parts]), np.concatenate([w for _, w in parts]), np.array([len(h) for h, _ in parts])
             bands, sketch = bands_and_sketch(prob_min_hash(hashes, counts, weights=times), salt)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array([_digest(t, 16) for t in (originals if exact else texts)], pa.binary()), pa.array(groups, pa.string()),
+                [pa.array(ids, pa.int64()), pa.array([_digest(f"{'' if g is None else 'g' + g}\0{t}", 16) for g, t in zip(groups, originals if exact else texts, strict=True)], pa.binary()), pa.array(groups, pa.string()),
                  pa.FixedSizeListArray.from_arrays(pa.array(bands.ravel()), BANDS).cast(pa.list_(pa.int64())),
                  pa.array(sketch[:, 0]), pa.array(sketch[:, 1])],
                 names=["id", "content", "grp", "bands", "s1", "s2"],
@@ -226,7 +227,7 @@ def near_duplicates(
     """
     read = rows.select(F.col(row_id).cast("long").alias("id"), (F.col(group) if group else F.lit(None)).cast("string").alias("grp"), F.col(text).alias("text"))
     signed = materialize(read.mapInArrow(_signed(fold, size, min_chars, exact, weights), "id long, content binary, grp string, bands array<long>, s1 long, s2 long"), "signatures")
-    found = signed.groupBy("grp", "content").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("s1").alias("s1"), F.first("s2").alias("s2"))
+    found = signed.groupBy("content").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("s1").alias("s1"), F.first("s2").alias("s2"))
     members = found.select(F.explode("bands").alias("bucket"), F.col("rep").alias("id"), "s1", "s2")
     # of 128 bits a pair at the threshold shares (1 + threshold) / 2; four standard deviations less are let pass
     p = (1 + threshold) / 2
@@ -235,7 +236,7 @@ def near_duplicates(
     texts = materialize(read.select("id", "text").join(ids, "id", "left_semi").dropDuplicates(["id"]), "texts")
     joined = pairs.join(texts.select(F.col("id").alias("rep_a"), F.col("text").alias("x")), "rep_a").join(texts.select(F.col("id").alias("rep_b"), F.col("text").alias("y")), "rep_b")
     links = joined.select("rep_a", "rep_b", "x", "y").mapInArrow(_verified(fold, size, weights), "rep_a long, rep_b long, similarity double")
-    classes = signed.select("id", "grp", "content").join(found.select(F.col("grp").alias("g"), F.col("content").alias("c"), "rep"), F.col("grp").eqNullSafe(F.col("g")) & (F.col("content") == F.col("c"))).select("id", "grp", "rep").dropDuplicates(["id"])
+    classes = spread_join(signed.select("id", "grp", "content"), found.select("content", "rep"), "content", "id").select("id", "grp", "rep").dropDuplicates(["id"])
     return classes, links.where(F.col("similarity") >= threshold)
 
 
@@ -261,7 +262,7 @@ def expanded(classes: DataFrame, links: DataFrame, *, copies: bool = True, limit
     Without `copies` no pair would hold the membership, so links are expanded into all pairs whatever their
     number: both classes are cut into blocks, and each two blocks, about `limit` pairs, are a row of their own.
     """
-    links = materialize(links.select("rep_a", "rep_b"), "links")
+    classes, links = materialize(classes, "classes"), materialize(links.select("rep_a", "rep_b"), "links")
     sizes = classes.groupBy("rep").agg(F.count(F.lit(1)).alias("n"))
     within = sizes.where(F.col("n") > 1).select(F.col("rep").alias("rep_a"), F.col("rep").alias("rep_b"), F.col("n").alias("na"), F.col("n").alias("nb"))
     across = links.select("rep_a", "rep_b").join(sizes.select(F.col("rep").alias("rep_a"), F.col("n").alias("na")), "rep_a").join(sizes.select(F.col("rep").alias("rep_b"), F.col("n").alias("nb")), "rep_b")
@@ -273,6 +274,6 @@ def expanded(classes: DataFrame, links: DataFrame, *, copies: bool = True, limit
     if not copies:
         pairs = pairs.unionByName(_block_pairs(classes, large, max(1, math.isqrt(limit))))
         return pairs.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
-    star = large.where(F.col("rep_a") == F.col("rep_b")).join(a, "rep_a").select(F.col("rep_a").alias("x"), F.col("x").alias("y"))
+    star = spread_join(a, large.where(F.col("rep_a") == F.col("rep_b")), "rep_a", "x").select(F.col("rep_a").alias("x"), F.col("x").alias("y"))
     firsts = large.where(F.col("rep_a") != F.col("rep_b")).select(F.col("rep_a").alias("x"), F.col("rep_b").alias("y"))
     return pairs.unionByName(star).unionByName(firsts).where(F.col("x") != F.col("y")).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
