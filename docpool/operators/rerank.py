@@ -16,6 +16,7 @@ from docpool.functions.text import first_tokens, trim_space
 LEAST, MOST = 5, 30
 PREVIEW_WORDS = 200
 MISSING = -1.0
+# The names query, candidates, id, preview, ranking and score in what is asked and answered are the wire format.
 
 
 @dataclass

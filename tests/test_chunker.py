@@ -10,13 +10,13 @@ def cut(spark, content, size=1500):
 
 
 def test_two_titles(spark):
-    assert cut(spark, "# A\n\nbody A\n\n# B\n\nbody B\n") == [("A", "# A\n\nbody A"), ("B", "# B\n\nbody B")]
+    assert cut(spark, "# Tea\n\nleaves\n\n# Milk\n\nfrom cows\n") == [("Tea", "# Tea\n\nleaves"), ("Milk", "# Milk\n\nfrom cows")]
 
 
 def test_six_levels(spark):
-    found = cut(spark, "\n".join(f"{'#' * i} {c}\ntext {c}" for i, c in enumerate("ABCDEF", 1)))
+    found = cut(spark, "\n".join(f"{'#' * i} {c}\nabout {c}" for i, c in enumerate(["oak", "elm", "fir", "ash", "yew", "box"], 1)))
     assert len(found) == 6
-    assert found[-1][0] == "A > B > C > D > E > F"
+    assert found[-1][0] == "oak > elm > fir > ash > yew > box"
 
 
 def test_paths_close_deeper_levels(spark):
@@ -43,9 +43,9 @@ def test_no_sections(spark):
 
 
 def test_even_parts(spark):
-    found = cut(spark, "# H\n" + "a" * 35, 10)
-    assert all(len(t) <= 10 and p == "H" for p, t in found)
-    assert "".join(t for _, t in found) == "# H\n" + "a" * 35
+    found = cut(spark, "# H\n" + "q" * 58, 13)
+    assert all(len(t) <= 13 and p == "H" for p, t in found)
+    assert "".join(t for _, t in found) == "# H\n" + "q" * 58
     assert [len(t) for _, t in cut(spark, "あ" * 21, 10)] == [7, 7, 7]
     assert [len(t) for _, t in cut(spark, "b" * 9000, 0)] == [4500, 4500]
 
@@ -55,8 +55,8 @@ def test_texts_to_embed(spark):
     docs = spark.createDataFrame([(1, f"# A\n{long}\n## B\n## C\nshort")], "id long, content string")
     found = [r.embed_text for r in ch.chunk_documents(docs, "content").orderBy("chunk_index").collect()]
     assert found == [f"A\n\n{long}", f"A > B\n\n{long}", f"A > C\n\n{long}"]
-    docs = spark.createDataFrame([(1, "# A\nalpha section\n"), (2, "only prose"), (3, "#tag")], "id long, content string")
-    assert [r.embed_text for r in ch.chunk_documents(docs, "content").orderBy("id").collect()] == ["A\n\nalpha section", "only prose", "#tag"]
+    docs = spark.createDataFrame([(1, "# Harbour\nships at the quay\n"), (2, "only prose"), (3, "#tag")], "id long, content string")
+    assert [r.embed_text for r in ch.chunk_documents(docs, "content").orderBy("id").collect()] == ["Harbour\n\nships at the quay", "only prose", "#tag"]
 
 
 def test_oversized_line(spark):

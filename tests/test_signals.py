@@ -41,14 +41,14 @@ def test_bm25_formula(spark):
 
 
 def test_bonuses(spark):
-    hit, miss = lex(spark, "FNC-001", ["see fnc-001", "nothing"])
+    hit, miss = lex(spark, "QX-77", ["see qx-77", "nothing"])
     assert hit >= 12 and miss == 0
-    assert lex(spark, "fnc-001 and fnc-001", ["fnc-001", "x"])[0] >= 20
+    assert lex(spark, "qx-77 and qx-77", ["qx-77", "x"])[0] >= 20
     assert lex(spark, "!!!", ["!!!", "x"]) == [0, 0]
 
 
 def test_grep(spark):
-    found = sg.score(chunks(spark, ["FNC-001 and ＦＮＣ-001", "fnc-001", "x", None]), " FNC-001 ", signals=("grep",)).orderBy("chunk_id").collect()
+    found = sg.score(chunks(spark, ["QX-77 and ＱＸ-77", "qx-77", "x", None]), " QX-77 ", signals=("grep",)).orderBy("chunk_id").collect()
     assert [r.grep for r in found] == [2, 1, 0, 0]
     assert [r.grep for r in sg.score(chunks(spark, ["a"]), "  ", signals=("grep",)).collect()] == [0]
 
