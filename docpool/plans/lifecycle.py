@@ -191,10 +191,11 @@ def sync_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def sync_changes(spark: SparkSession, folder: str) -> DataFrame:
-    """All documents stored, then synced again with an edit in one of a hundred: what is done by key."""
+    """All documents stored, then all synced again after those of the last key, a hundredth or so, were edited: what is done by key."""
     docs = _documents(spark, folder).drop("lang")
     state, _ = tr.upsert(_empty(spark, folder), docs, NOW, HashEmbedder(8))
-    edited = docs.withColumn("content", F.when(F.col("pos") % 100 == 0, F.concat("content", F.lit(" edited"))).otherwise(F.col("content")))
+    last = table(spark, folder, "doc_keys").agg(F.max("key")).first()[0]
+    edited = docs.withColumn("content", F.when(F.col("key") == last, F.concat("content", F.lit(" edited"))).otherwise(F.col("content")))
     _, outcomes, _ = tr.sync(state, edited, docs.select("key", "series").distinct(), NOW, HashEmbedder(8))
     return tr.outcome_counts(outcomes).select("key", "processed", "skipped", "failed")
 
@@ -237,7 +238,7 @@ ORACLE = {
     "sync_documents": _STORED + "sent as (select * from d where lang = 'en')" + _SYNCED + """,
         m as (select key, count(*) as marked from (select key, path from held except select key, path from sent) group by 1)
         select key, coalesce(processed, 0) as processed, coalesce(skipped, 0) as skipped, coalesce(failed, 0) as failed, coalesce(marked, 0) as marked from n full join m using (key)""",
-    "sync_changes": _STORED + "sent as (select key, path, doc_id, c || case when doc_id % 100 = 0 then ' edited' else '' end as c from d)" + _SYNCED + "select * from n",
+    "sync_changes": _STORED + "sent as (select key, path, doc_id, c || case when key = (select max(key) from doc_keys) then ' edited' else '' end as c from d)" + _SYNCED + "select * from n",
     "list_indexes": """select k.key, k.doc_count, coalesce(c.n, 0) as chunk_count, s.series from doc_keys k
         left join (select r.key, count(c.id) as n from records r left join chunks c on c.record_id = r.id group by 1) c using (key)
         left join (select r.key, string_agg(distinct s.series, ',' order by s.series) as series from records r join series_keys s on s.record_id = r.id group by 1) s using (key) where k.trashed_at is null""",

@@ -185,11 +185,9 @@ class Service:
         return found
 
     def list_indexes(self) -> list[dict]:
-        out = []
-        for key in self.store.keys():
-            s = self.store.state(key)
-            out += [r.asDict() for r in tr.list_keys(s.keys, s.records, s.series_keys, s.chunks).collect()]
-        return out
+        read = self.store.whole
+        listed = tr.list_keys(read("keys"), read("records", ("id",)), read("series_keys", ("record_id",)), read("chunks", ("id", "record_id")))
+        return [r.asDict() for r in listed.collect()]
 
     def _trash(self, key: str, now: datetime | None) -> None:
         _need(key=key)
@@ -213,10 +211,7 @@ class Service:
         return {"key": key, "restored": True}
 
     def list_trashed_indexes(self) -> list[dict]:
-        out = []
-        for key in self.store.keys():
-            out += [r.asDict() for r in tr.list_trashed(self.store.state(key).keys, int(self.retention.total_seconds()), self._time()).collect()]
-        return sorted(out, key=lambda r: (r["trashed_at"], r["key"]))
+        return [r.asDict() for r in tr.list_trashed(self.store.whole("keys"), int(self.retention.total_seconds()), self._time()).collect()]
 
     def sync_documents(self, key: str, series: str, documents: Sequence[dict]) -> str:
         """Starts making a series hold just these documents; gives the job's id. An empty list detaches everything."""
@@ -280,10 +275,22 @@ class Sweeper:
         self.service, self.interval, self.retention = service, interval_seconds if interval_seconds > 0 else 3600, retention
         self.stats, self._stop, self._thread = SweepStats(), threading.Event(), None
 
+    def _due(self, cutoff: datetime) -> list[str]:
+        """Keys that have something to carry out, found in one query; all, if that fails for one of them."""
+        store = self.service.store
+        try:
+            keys = store.whole("keys")
+            due = tr.trashed_before(keys, cutoff).select("key").unionByName(tr.pending_older_than(store.whole("pending"), keys, cutoff).select("key"))
+            found = {r.key for r in due.distinct().collect()}
+        except Exception:  # noqa: BLE001
+            log.exception("the keys that are due can't be read at once")
+            return store.keys()
+        return [key for key in store.keys() if key in found]
+
     def sweep(self) -> SweepStats:
         service, store = self.service, self.service.store
         cutoff = service._time() - self.retention
-        for key in store.keys():
+        for key in self._due(cutoff):
             try:
                 with store.locks.hold(key, self._stop.is_set), scratch():
                     state = store.state(key)
@@ -296,10 +303,16 @@ class Sweeper:
                         store.commit(key, tr.sweep_pending(state, cutoff))
                         store.compact(key)
                         self.stats.reservations_done += due
-                    store.clean(key)
             except Exception as e:  # noqa: BLE001
                 log.exception("sweep of %s failed", key)
                 self.stats.errors.append(f"{key}: {e}")
+        for key in store.keys():
+            try:
+                with store.locks.hold(key, self._stop.is_set):
+                    store.clean(key)
+            except Exception as e:  # noqa: BLE001
+                log.exception("cleaning of %s failed", key)
+                self.stats.errors.append(f"{key}: {e}")
         self.stats.runs += 1
         self.stats.last_run = service._time()
         return self.stats

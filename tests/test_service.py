@@ -57,6 +57,14 @@ def test_life_of_a_key(service):
         service.query("K", "")
 
 
+def test_keys_are_listed_apart(service):
+    service.upsert_documents("K ä/1", "main", [{"path": "a.md", "content": "# A\none\n# B\ntwo"}, {"path": "b.md", "content": "three"}])
+    service.upsert_documents("L", "fx", [{"path": "a.md", "content": "four"}])
+    assert [(r["key"], r["doc_count"], r["chunk_count"], r["series"]) for r in service.list_indexes()] == [("K ä/1", 2, 3, ["main"]), ("L", 1, 1, ["fx"])]
+    service.trash_index("K ä/1")
+    assert [r["key"] for r in service.list_indexes()] == ["L"] and [r["key"] for r in service.list_trashed_indexes()] == ["K ä/1"]
+
+
 def test_trash_and_sweep(service):
     service.upsert_documents("K", "main", [{"path": "a.md", "content": "text"}])
     assert service.schedule_delete_series("K", "main") == {"scheduled": True, "already_scheduled": False}
