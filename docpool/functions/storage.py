@@ -27,11 +27,12 @@ def shared_folder(spark: SparkSession) -> str:
     return _OWN[context.applicationId]
 
 
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+def materialize(df: DataFrame, name: str = "table", outlives: bool = False) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
     Unlike a cached or locally checkpointed frame it survives the loss of executors, and what follows
-    does not compute df again. The files go when the JVM ends, or at the end of a `scratch` around the call.
+    does not compute df again. The files go when the JVM ends, or at the end of a `scratch` around the call; with
+    `outlives`, at the end of the one around that.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/docpool-{name}-{uuid.uuid4().hex}"
@@ -40,20 +41,21 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     target = jvm.org.apache.hadoop.fs.Path(path)
     files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     files.deleteOnExit(target)
-    if getattr(_WRITTEN, "paths", None) is not None:
-        _WRITTEN.paths.append((files, target))
+    paths = getattr(_WRITTEN, "outer" if outlives else "paths", None)
+    if paths is not None:
+        paths.append((files, target))
     return spark.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
 def scratch() -> Iterator[None]:
     """Deletes, in the end, what this thread materializes inside; what is to outlive it must have been written or collected."""
-    outer = getattr(_WRITTEN, "paths", None)
-    _WRITTEN.paths = []
+    outer, above = getattr(_WRITTEN, "paths", None), getattr(_WRITTEN, "outer", None)
+    _WRITTEN.paths, _WRITTEN.outer = [], outer
     try:
         yield
     finally:
         for files, target in _WRITTEN.paths:
             files.delete(target, True)
             files.cancelDeleteOnExit(target)
-        _WRITTEN.paths = outer
+        _WRITTEN.paths, _WRITTEN.outer = outer, above

@@ -127,7 +127,11 @@ def hybrid(scored: DataFrame, by: list[str], n: int = DEFAULT_TOP, guarantee: in
     n = n if n > 0 else DEFAULT_TOP
     if not by:
         return _hybrid_of_one(scored, n, guarantee)
-    ranked = reciprocal_ranks(scored, by)
+    return first_of_ranked(reciprocal_ranks(scored, by), by, n, guarantee)
+
+
+def first_of_ranked(ranked: DataFrame, by: list[str], n: int, guarantee: int) -> DataFrame:
+    """The end of hybrid for a batch: of reciprocal_ranks, or of its rows that may be shown, the n first with the guarantee."""
     fused = top(ranked, by, "rrf", max(n, guarantee), "rf")
     best = ranked.where(F.col("re") <= guarantee).withColumn("rf", F.lit(None).cast("int"))
     columns = [c for c in ranked.columns if c not in (*by, "chunk_id")]

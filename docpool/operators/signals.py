@@ -217,6 +217,11 @@ def _score_held(chunks: DataFrame, queries: DataFrame, cap: int | None, k1: floa
     return materialize(read.mapInArrow(score_all, "query_id long, chunk_id long, emb double, lex double, grep long"), "pairs")
 
 
+def query_bytes(queries: DataFrame) -> int:
+    """About how much memory queries take."""
+    return queries.agg(F.sum(F.coalesce(F.octet_length("query"), F.lit(0)) + 8 * F.greatest(F.coalesce(F.size("vector"), F.lit(0)), F.lit(0)) + 64)).first()[0] or 0
+
+
 def score_batch(chunks: DataFrame, queries: DataFrame, cap: int | None = None, k1: float = K1, b: float = B, held_bytes: int = HELD_BYTES) -> DataFrame:
     """(query_id, chunk_id, emb, lex, grep): every query (query_id, key, query, vector) with all chunks (id, key, text, vector) of its key.
 
@@ -226,8 +231,7 @@ def score_batch(chunks: DataFrame, queries: DataFrame, cap: int | None = None, k
     with that cap can show. More queries than that meet their chunks in a join.
     """
     asked = queries.select("query_id", "key", "query", "vector")
-    size = asked.agg(F.sum(F.coalesce(F.octet_length("query"), F.lit(0)) + 8 * F.greatest(F.coalesce(F.size("vector"), F.lit(0)), F.lit(0)) + 64)).first()[0] or 0
-    return _score_held(chunks, asked, cap, k1, b) if size <= held_bytes else _score_joined(chunks, asked, k1, b)
+    return _score_held(chunks, asked, cap, k1, b) if query_bytes(asked) <= held_bytes else _score_joined(chunks, asked, k1, b)
 
 
 def _score_joined(chunks: DataFrame, queries: DataFrame, k1: float, b: float) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from docpool.functions.storage import materialize
 from docpool.functions.text import norm_text, normalise_content, content_hash, substring_count, tokens
+from docpool.operators.batches import hybrid_of_batch
 from docpool.operators.chunker import chunk_documents, oversized_line, prose
 from docpool.operators.fusion import SIGNAL_CAP, hits, hybrid, merge_order, merge_signals, reciprocal_ranks, signal_list, top
 from docpool.operators.rerank import blend, candidate_count
@@ -169,12 +170,16 @@ def stage_stats(spark: SparkSession, folder: str) -> DataFrame:
     return hits(_scored(spark, folder), [])
 
 
-def _batch(spark: SparkSession, folder: str, cap: int | None = None) -> DataFrame:
-    """Every logged query against all chunks of its key; its vector is that of its first chunk with one."""
+def _asked(spark: SparkSession, folder: str) -> DataFrame:
+    """Every logged query with its key; its vector is that of its first chunk."""
     asked = table(spark, folder, "search_results").groupBy("query_id").agg(F.min("key").alias("key"), F.min("query_text").alias("query"), F.min("chunk_id").alias("chunk_id"))
-    chunks = table(spark, folder, "chunks")
-    vectors = chunks.select(F.col("id").alias("chunk_id"), "vector")
-    return score_batch(chunks, asked.join(vectors, "chunk_id", "left"), cap)
+    vectors = table(spark, folder, "chunks").select(F.col("id").alias("chunk_id"), "vector")
+    return asked.join(vectors, "chunk_id", "left")
+
+
+def _batch(spark: SparkSession, folder: str, cap: int | None = None) -> DataFrame:
+    """Every logged query against all chunks of its key."""
+    return score_batch(table(spark, folder, "chunks"), _asked(spark, folder), cap)
 
 
 def merge_all_batch(spark: SparkSession, folder: str) -> DataFrame:
@@ -182,7 +187,8 @@ def merge_all_batch(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def hybrid_batch(spark: SparkSession, folder: str) -> DataFrame:
-    return search_batch(_batch(spark, folder), "hybrid", TOP).select("query_id", "place", "chunk_id", F.round("rrf", 6).alias("rrf"))
+    """Every logged query against all chunks of its key."""
+    return hybrid_of_batch(table(spark, folder, "chunks"), _asked(spark, folder), TOP).select("query_id", "place", "chunk_id", F.round("rrf", 6).alias("rrf"))
 
 
 def rerank_blend(spark: SparkSession, folder: str) -> DataFrame:
